@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding
+from . import mixing, nbsvm, pieces, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_secrets": secrets.op2_secrets,
     "op4_sharding": sharding.op4_sharding,
+    "op7_pieces": pieces.op7_pieces,
+    "op8_quality_classifier": nbsvm.op8_quality_classifier,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {"op9_mixing": mixing.OP9_SQL}
