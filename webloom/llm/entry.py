@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, nbsvm, pieces, quality_rules, secrets, sharding
+from . import brown, jaccard, mixing, nbsvm, pieces, quality_rules, secrets, sharding, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_secrets": secrets.op2_secrets,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_sharding": sharding.op4_sharding,
+    "op5_lm_scoring": brown.op5_lm_scoring,
+    "op6_topk": topk.op6_topk,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality_classifier": nbsvm.op8_quality_classifier,
     "op9_mixing": mixing.op9_mixing,
 }
-ORACLES = {"op9_mixing": mixing.OP9_SQL}
+ORACLES = {"op6_topk": topk.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
