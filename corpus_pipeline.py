@@ -1,15 +1,64 @@
-"""The corpus pipeline; its stages are added as their operators are."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, source mixing, piece encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. Document ids are taken to be unique in the input; after mixing, a document stands
+there as often as the mix takes it. Empty input gives an empty result of the same columns.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.llm.jaccard import jaccard_components
+from webloom.llm.mixing import pareto_mix
+from webloom.llm.pieces import encode
+from webloom.llm.quality_rules import judge_quality
+from webloom.llm.secrets import mask_secrets
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    kept = judge_quality(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id."""
+    first = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+    return docs.select(*COLUMNS).join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return mask_secrets(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    taken = pareto_mix(docs).where("copies > 0").select(F.col("doc_id").alias("_taken"), "copies")
+    rows = docs.select(*COLUMNS).join(taken, F.col("doc_id") == F.col("_taken"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    return encode(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("piece_encoding", piece_encoding)]
+
+#: The near-duplicate join and the estimates behind the quality rules have no plain SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """Apply the stages to documents, each to what its predecessor kept."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; every stage's result is written and read again."""
+    from webloom.llm.common import stash
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

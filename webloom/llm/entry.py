@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, jaccard, mixing, nbsvm, pieces, quality_rules, secrets, sharding, topk
+from . import brown, jaccard, mixing, nbsvm, pieces, quality_rules, repeats, secrets, sharding, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_pieces": pieces.op7_pieces,
     "op8_quality_classifier": nbsvm.op8_quality_classifier,
     "op9_mixing": mixing.op9_mixing,
+    "op10_repeats": repeats.op10_repeats,
 }
 ORACLES = {"op6_topk": topk.OP6_SQL, "op9_mixing": mixing.OP9_SQL}

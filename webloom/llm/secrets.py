@@ -127,6 +127,16 @@ def _judged(ratios: list[float]):
     return judge
 
 
+def _spans_now(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return docs.withColumns({"base": base_spans(text), "seen": _spans(text, CANDIDATE, "markov")})
+
+
+def _all_spans(ratios: list[float]) -> Column:
+    free = F.filter("seen", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.concat("base", F.filter(free, _judged(ratios)))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of secrets in each text.
 
@@ -138,15 +148,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty and has no spans; an empty table gives an empty result; rows with
     equal ids are judged each by its own text; columns other than id and text are ignored.
 
-    Returns doc_id, text_hash (xxhash64 of the text) and spans, array<struct<start, end, kind, value>> in code points.
+    Returns doc_id and spans, array<struct<start, end, kind, value>> in code points.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    text = F.col("text")
-    base, seen = base_spans(text), _spans(text, CANDIDATE, "markov")
-    found = stash(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), base.alias("base"), seen.alias("seen")), "secrets-found")
-    judge = _judged(log_ratios(labelled_strings(docs, found)))
-    free = F.filter("seen", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select("doc_id", "text_hash", F.concat("base", F.filter(free, judge)).alias("spans"))
+    found = stash(_spans_now(docs).select("doc_id", "base", "seen"), "secrets-found")
+    return found.select("doc_id", _all_spans(log_ratios(labelled_strings(docs, found))).alias("spans"))
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """The same rows, every secret in ``text`` replaced by MASK (null stays null); docs has doc_id and text.
+
+    The models are trained first; the rows then need one more pass and no join.
+    """
+    columns = docs.columns
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = stash(_spans_now(texts).where("size(base) > 0").select("doc_id", "base"), "secrets-found")
+    ratios = log_ratios(labelled_strings(texts, found))
+    spans = _spans_now(docs).withColumn("spans", _all_spans(ratios))
+    return spans.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans")))).select(*columns)
 
 
 def digest(spans: DataFrame) -> DataFrame:
