@@ -26,6 +26,8 @@ ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
 RANDOM_SAMPLE, ORDINARY_DOCS = 20_000, 2_000
 #: Log-likelihood ratio (nats) from which a string is random: in all, and for each transition.
 LEAST_RATIO, LEAST_MEAN = 20.0, 0.7
+#: Weight of the plain frequency of a character in its frequency after another.
+BACKOFF = 8.0
 MASK = "[SECRET]"
 
 
@@ -87,31 +89,35 @@ def _transitions(tokens: DataFrame) -> DataFrame:
 def log_ratios(tokens: DataFrame) -> list[float]:
     """log P(next | this) of random strings less that of ordinary ones, for each pair of characters.
 
-    Both models are smoothed by half a count for each pair; without random samples theirs is uniform.
-    What comes to the driver has at most 2 * SIZE**2 rows, whatever the input.
+    Both models lean on how often the next character comes at all, with weight BACKOFF, and that on
+    half a count for each character; so a character that ordinary strings lack counts against them
+    after any other. What comes to the driver has at most 2 * SIZE**2 rows, whatever the input.
     """
-    counts = {label: [0.5] * (SIZE * SIZE) for label in (0, 1)}
+    counts = {label: [[0.0] * SIZE for _ in range(SIZE)] for label in (0, 1)}
     for label, pair, n in _transitions(tokens).collect():
-        counts[label][pair] += n
-    out = []
-    for a in range(SIZE):
-        rows = [counts[label][a * SIZE : (a + 1) * SIZE] for label in (1, 0)]
-        sums = [sum(r) for r in rows]
-        out += [math.log(x / sums[0]) - math.log(y / sums[1]) for x, y in zip(*rows, strict=True)]
-    return out
+        counts[label][pair // SIZE][pair % SIZE] += n
+
+    def logs(rows):
+        plain = [sum(r[b] for r in rows) + 0.5 for b in range(SIZE)]
+        total = sum(plain)
+        return [math.log((x + BACKOFF * plain[b] / total) / (sum(r) + BACKOFF)) for r in rows for b, x in enumerate(r)]
+
+    return [x - y for x, y in zip(logs(counts[1]), logs(counts[0]), strict=True)]
 
 
 def labelled_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Labelled samples: values of base spans are random (1), other long strings of sampled documents ordinary (0).
+    """Labelled samples: values of base spans are random (1), other long strings that recur in sampled documents ordinary (0).
 
     Bounded by RANDOM_SAMPLE strings and ORDINARY_DOCS documents, those with the smallest hashes.
     """
     values = found.select(F.explode("base").alias("s"), "doc_id").select(F.col("s.value").alias("token"), F.xxhash64("s.value", "doc_id", "s.start").alias("h"))
     random = values.orderBy("h", "token").limit(RANDOM_SAMPLE).select(F.lit(1).alias("label"), "token")
     sample = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(ORDINARY_DOCS)
+    # a string that two documents hold is an identifier or a word; a secret stands in one
     for pattern in (ASSIGN, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", f"[0-9a-f]{{{HEX_LEAST},}}"):
         sample = sample.withColumn("text", F.regexp_replace("text", pattern, " "))
-    ordinary = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
+    ordinary = sample.select("h", F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
+    ordinary = ordinary.groupBy("token").agg(F.countDistinct("h").alias("n")).where("n > 1").select(F.lit(0).alias("label"), "token")
     return random.unionByName(ordinary)
 
 
@@ -122,7 +128,8 @@ def _judged(ratios: list[float]):
         codes = _codes(span["value"])
         first = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
         total = F.aggregate(codes, first, lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(table, acc["last"] * SIZE + c))).alias("sum")), lambda acc: acc["sum"])
-        return (total >= LEAST_RATIO) & (total >= LEAST_MEAN * (F.length(span["value"]) - 1))
+        # digits alone are numbers, however random
+        return span["value"].rlike("[A-Za-z]") & (total >= LEAST_RATIO) & (total >= LEAST_MEAN * (F.length(span["value"]) - 1))
 
     return judge
 
