@@ -76,6 +76,32 @@ def test_secrets(docs, none, spark):
     assert masked[1] == f"the key {secrets.MASK} is here"
 
 
+def test_jaccard_signatures():
+    """No pair of different labels that reaches the similarity is left out, whatever the block size."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 160)
+    sets = []
+    for k in range(150):
+        own = base[: rng.integers(60, 161)].copy()
+        own[rng.random(len(own)) < rng.choice([0, 0.05, 0.1, 0.15, 0.3])] += k + 1
+        sets.append(np.unique(own).astype(np.uint64))
+    sets.sort(key=len)
+    n, label = np.array([len(x) for x in sets]), rng.integers(0, 40, len(sets))
+    parity = jaccard._parity(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
+    assert not jaccard._parity(sets[0][:0], np.array([0, 0])).any()
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if label[i] != label[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert len(want) > 100
+    found = []
+    old = jaccard.BLOCK
+    try:
+        for jaccard.BLOCK in (1, 300, old):
+            found.append({p for i, j in jaccard._apart(n, label, parity) for p in zip(i.tolist(), j.tolist(), strict=True)})
+    finally:
+        jaccard.BLOCK = old
+    assert found[0] == found[1] == found[2] and want <= found[0]
+    assert len(found[0]) < 0.7 * sum(label[i] != label[j] for i in range(len(sets)) for j in range(i + 1, len(sets)))
+
+
 def test_jaccard(docs, none):
     lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = {}
