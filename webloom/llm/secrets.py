@@ -108,11 +108,15 @@ def log_ratios(tokens: DataFrame) -> list[float]:
 def labelled_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Labelled samples: values of base spans are random (1), other long strings that recur in sampled documents ordinary (0).
 
-    Bounded by RANDOM_SAMPLE strings and ORDINARY_DOCS documents, those with the smallest hashes.
+    Bounded by RANDOM_SAMPLE strings and ORDINARY_DOCS documents, those with the smallest hashes (rows
+    with the id of the last are all in it). An empty table samples nothing.
     """
     values = found.select(F.explode("base").alias("s"), "doc_id").select(F.col("s.value").alias("token"), F.xxhash64("s.value", "doc_id", "s.start").alias("h"))
     random = values.orderBy("h", "token").limit(RANDOM_SAMPLE).select(F.lit(1).alias("label"), "token")
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(ORDINARY_DOCS)
+    # the hashes choose, so no task gathers the texts themselves
+    hashes = docs.select(F.xxhash64("doc_id").alias("h"))
+    last = hashes.orderBy("h").limit(ORDINARY_DOCS).agg(F.max("h")).first()[0]
+    sample = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= F.lit(last))
     # a string that two documents hold is an identifier or a word; a secret stands in one
     for pattern in (ASSIGN, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", f"[0-9a-f]{{{HEX_LEAST},}}"):
         sample = sample.withColumn("text", F.regexp_replace("text", pattern, " "))
