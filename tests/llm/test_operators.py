@@ -56,6 +56,26 @@ def test_quality_rules(docs, none):
     assert quality_rules.judge_quality(none).count() == 0
 
 
+def test_quality_outliers_in_groups_of_any_size(spark):
+    """Symbol garbage is rejected by distance in a large group, in a small one, and where the language is rare or null."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("aeioustrn") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    prose = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(60, 120)))
+    garbage = lambda: " ".join(w + "%%%" for w in prose().split())
+    groups = [("en", "large", 60), ("en", "small", 8), ("xx", "rare", 4), (None, None, 4)]
+    rows, bad = [], set()
+    for lang, source, n in groups:
+        bad.add(len(rows))
+        rows += [(len(rows) + k, prose() if k else garbage(), lang, source) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge_quality(docs).collect()
+    assert len(got) == len(rows) and not any(r.base_failed or r.distance is None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == bad
+    # no group reaches LEAST_ROWS, nor does the table
+    few = docs.where("source != 'large' or source is null")
+    assert {r.doc_id for r in quality_rules.judge_quality(few).collect() if not r.kept} == bad - {0}
+
+
 def test_secrets(docs, none, spark):
     got = {r.doc_id: r for r in secrets.digest(secrets.scan_secrets(docs)).collect()}
     rules = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]

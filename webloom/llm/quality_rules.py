@@ -15,7 +15,7 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Transformed statistics and, for each, the spread that is always tolerated (ridge of the covariance).
 VECTOR = {"v_length": 0.06, "v_symbols": 0.05, "v_marks": 0.06, "v_upper": 0.06, "v_repeats": 0.12, "v_lines": 0.16}
 D = len(VECTOR)
-#: Share of a group that the determinant is minimised over; concentration steps; rows under which a group has no estimate.
+#: Share of a group that the determinant is minimised over; concentration steps; rows under which a group has no estimate of its own.
 H_SHARE, STEPS, LEAST_ROWS = 0.6, 5, 30
 #: Medians and cutoff of chi-square with D degrees of freedom; the cutoff's tail probability is 1e-9.
 CHI2_MEDIAN, CUTOFF = 5.348, 54.0
@@ -139,6 +139,24 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
+def _pools(stats: DataFrame, lang) -> DataFrame:
+    """(group, key, feeds): the estimate that judges each group, and all estimates that its rows count in.
+
+    A group judges itself from LEAST_ROWS rows on; else its language does, or else all rows. An
+    estimate that judges no group is not made.
+    """
+    groups = stats.groupBy("group", lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") < LEAST_ROWS
+    langs = groups.groupBy("lang").agg((F.sum("n") < LEAST_ROWS).alias("sparse"), F.max(small).alias("pooled"))
+    # one row at most, also without any group
+    whole = langs.agg(F.coalesce(F.max(F.col("sparse") & F.col("pooled")), F.lit(False)).alias("whole"))
+    every = groups.join(langs, "lang").crossJoin(F.broadcast(whole))
+    keys = {"own": F.concat(F.lit("2"), "group"), "of_lang": F.concat(F.lit("1"), "lang"), "of_all": F.lit("0")}
+    key = F.when(~small, keys["own"]).when(~F.col("sparse"), keys["of_lang"]).otherwise(keys["of_all"])
+    feeds = F.array(F.when(~small, keys["own"]), F.when(F.col("pooled") & ~F.col("sparse"), keys["of_lang"]), F.when(F.col("whole"), keys["of_all"]))
+    return every.select("group", key.alias("key"), F.array_compact(feeds).alias("feeds"))
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base limits, then minimum-covariance-determinant outliers in each (language, source).
 
@@ -151,29 +169,33 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     squared Mahalanobis distance, scaled to chi-square by its median, is over CUTOFF are rejected.
 
     Null texts count as empty (base_failed); null languages or sources are groups of their own;
-    groups under LEAST_ROWS rows reject nothing by distance. Repeated rows count each. An empty
-    table gives an empty result; columns beyond the four named are ignored.
+    a group under LEAST_ROWS rows is judged by the estimate over all rows of its language, and where
+    the language has no more, by the one over all rows, however few. Repeated rows count each. An
+    empty table gives an empty result; columns beyond the four named are ignored.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     stats = stash(picked.mapInArrow(_measure, STATS), "quality-stats")
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    stats = stats.withColumn("key", F.concat_ws("\x1f", named("lang"), named("source")))
+    stats = stats.withColumn("group", F.concat_ws("\x1f", named("lang"), named("source")))
+    pools = stash(_pools(stats, named("lang")), "quality-pools")
 
     value = F.posexplode(F.array(*[F.floor(F.col(v) * GRID + 0.5).cast("int") for v in VECTOR]))
-    values = stats.select("key", value.alias("dim", "value")).groupBy("key", "dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = stats.select("group", value.alias("dim", "value")).groupBy("group", "dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    feeds = pools.select("group", F.explode("feeds").alias("key"))
+    values = values.join(feeds, "group").groupBy("key", "dim", "value").agg(F.sum("n").alias("n"))
     model = stash(values.groupBy("key").applyInPandas(_start, MODEL), "quality-model")
     moments = [F.count(F.lit(1)).alias("n")] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)]
     vs = list(VECTOR)
     moments += [F.sum(F.col(vs[i]) * F.col(vs[j])).alias(f"p{i}_{j}") for i, j in _PAIRS]
     for _ in range(STEPS):
-        far = stats.join(model, "key").withColumn("bin", F.floor(F.log(F.greatest(_distance(), F.lit(1e-4))) / BIN).cast("int"))
+        far = stats.join(feeds.join(model, "key"), "group").withColumn("bin", F.floor(F.log(F.greatest(_distance(), F.lit(1e-4))) / BIN).cast("int"))
         model = stash(far.groupBy("key", "bin").agg(*moments).groupBy("key").applyInPandas(_concentrate, MODEL), "quality-model")
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    distance = F.when(F.col("n") >= LEAST_ROWS, _distance() / F.col("scale"))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    judged = stats.join(model, "key").withColumns({"base_failed": base_failed, "distance": distance})
+    kept = ~F.col("base_failed") & (F.col("distance") <= CUTOFF)
+    own = pools.select("group", "key").join(model, "key")
+    judged = stats.join(own, "group").withColumns({"base_failed": base_failed, "distance": _distance() / F.col("scale")})
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 
