@@ -96,6 +96,29 @@ def test_secrets(docs, none, spark):
     assert masked[1] == f"the key {secrets.MASK} is here"
 
 
+def test_secrets_joined_to_other_text(spark):
+    """A key is found and masked after a path, a prefix or a base span, before other text, and twice in one string."""
+    key, other = "kX9vQ2mZ7pLr4TwB8nHs3JdF", "W3cYt6RzKq1Vb5MgXe0PjLu8"
+    rnd = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ordinary = ["".join(rnd.choice(["ing", "tion", "re", "the", "er", "ou"]) for _ in range(rnd.randint(4, 9))) for _ in range(200)]
+    rows = [(100 + k, " ".join(rnd.sample(ordinary, 60)) + " api_key = " + "".join(rnd.choice(letters) for _ in range(30))) for k in range(80)]
+    path = "/".join(ordinary[:6])
+    joined = [f"{path}/{key}", f"{path}/{key}/{path}", f"{ordinary[0]}-{ordinary[1]}-{ordinary[2]}={key}", f"{path}/{key}/{path}/{other}", "0f" * 14 + "/" + key, "0f" * 14 + f"/{path}/{key}"]
+    texts = dict(enumerate([*joined, path, f"{path}/{ordinary[7]}"]))
+    more = spark.createDataFrame([*texts.items(), *rows], "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.spans if s.kind == "markov"] for r in secrets.scan_secrets(more).collect() if r.doc_id in texts}
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(more).collect()}
+    for i, text in texts.items():
+        assert all(text[s.start : s.end] == s.value for s in found[i])
+        assert all(a.end <= b.start for a, b in zip(found[i], found[i][1:]))
+        for k in (key, other):
+            at = text.find(k)
+            assert at < 0 or any(s.start <= at and at + len(k) <= s.end for s in found[i])
+            assert k not in masked[i]
+    assert [len(found[i]) for i in texts] == [1, 1, 1, 2, 1, 1, 0, 0]
+
+
 def test_jaccard_signatures():
     """No pair of different labels that reaches the similarity is left out, whatever the block size."""
     rng = np.random.default_rng(5)

@@ -26,6 +26,10 @@ ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
 RANDOM_SAMPLE, ORDINARY_DOCS = 20_000, 2_000
 #: Log-likelihood ratio (nats) from which a string is random: in all, and for each transition.
 LEAST_RATIO, LEAST_MEAN = 20.0, 0.7
+#: A stretch ends where the ratio has fallen so far below its peak.
+DROP = 10.0
+#: What separates the parts of a string, and a part.
+SEPARATOR, PART = "[/_=+-]", "[^/_=+-]*"
 #: Weight of the plain frequency of a character in its frequency after another.
 BACKOFF = 8.0
 MASK = "[SECRET]"
@@ -125,36 +129,143 @@ def labelled_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
     return random.unionByName(ordinary)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _stretches(ratios: Column, drift: float) -> Column:
+    """array<struct<start, end>> of disjoint stretches of characters that reach both limits.
+
+    One scan for maximum sums of the ratios less ``drift``: a stretch starts anew where its sum is
+    used up or has fallen by DROP, and ends at its peak. ``ratios`` has one element a character, that
+    of the transition to it.
+    """
+
+    def ended(acc):
+        n = acc["end"] - acc["start"]
+        total = acc["best"] + drift * n
+        one = F.array(F.struct(acc["start"].alias("start"), (acc["end"] + 1).alias("end")))
+        return F.when((n > 0) & (total >= LEAST_RATIO) & (total >= LEAST_MEAN * n), F.concat(acc["out"], one)).otherwise(acc["out"])
+
+    def step(acc, r):
+        def moved(now):
+            cut, at = (now <= 0) | (now < acc["best"] - DROP), acc["at"] + 1
+            return F.struct(
+                at.alias("at"),
+                F.when(cut, 0.0).otherwise(now).alias("sum"),
+                F.when(cut, at).otherwise(acc["start"]).alias("start"),
+                F.when(cut | (now > acc["best"]), at).otherwise(acc["end"]).alias("end"),
+                F.when(cut, 0.0).otherwise(F.greatest(acc["best"], now)).alias("best"),
+                F.when(cut, ended(acc)).otherwise(acc["out"]).alias("out"),
+            )
+
+        return _let(acc["sum"] + r - drift, moved)
+
+    zero, none = F.lit(0), F.array().cast("array<struct<start:int,end:int>>")
+    first = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("sum"), zero.alias("start"), zero.alias("end"), F.lit(0.0).alias("best"), none.alias("out"))
+    return F.aggregate(ratios, first, step, ended)
+
+
+def _whole_parts(value: Column, s: Column) -> Column:
+    """The stretch with its ends moved to separators: a part it covers half of is taken whole, of which it covers less is left, unless little remains."""
+    held = F.substring(value, s["start"] + 1, s["end"] - s["start"])
+    n = lambda text, pattern: F.length(F.regexp_extract(text, pattern, 0))
+    before, own_first = n(F.substring(value, F.lit(1), s["start"]), PART + "$"), n(held, "^" + PART)
+    after, own_last = n(F.substring(value, s["end"] + 1, F.length(value)), "^" + PART), n(held, PART + "$")
+    several = own_first < F.length(held)
+    start = F.when(own_first >= before, s["start"] - before).when(several, s["start"] + own_first + 1).otherwise(s["start"])
+    end = F.when(own_last >= after, s["end"] + after).when(several, s["end"] - own_last - 1).otherwise(s["end"])
+    moved = F.struct(start.alias("start"), end.alias("end"))
+    return _let(moved, lambda m: F.when(2 * (m["end"] - m["start"]) >= s["end"] - s["start"], m).otherwise(s))
+
+
+def _joined_up(spans: Column) -> Column:
+    """Overlapping spans made one."""
+
+    def step(acc, s):
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def _parts(value: Column) -> Column:
+    """array<struct<start, end>>: the string, then what its separators part it into."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc, part):
+        end = acc["at"] + F.length(part)
+        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("out"))
+
+    parts = F.aggregate(F.split(value, SEPARATOR), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    long = F.filter(parts, lambda s: (s["end"] - s["start"] > 1) & (s["end"] - s["start"] < F.length(value)))
+    return F.concat(F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end"))), long)
+
+
 def _judged(ratios: list[float]):
     table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in ratios) + "]"), "array<double>")
 
+    def random(value):
+        """The random stretches of a string; the whole string if it is random on the whole."""
+
+        def judged(rs):
+            total = F.aggregate(rs, F.lit(0.0), lambda acc, r: acc + r)
+            whole = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
+            found = F.transform(F.concat(_stretches(rs, 0.0), _stretches(rs, LEAST_MEAN)), lambda s: _whole_parts(value, s))
+            return F.when((total >= LEAST_RATIO) & (total >= LEAST_MEAN * (F.length(value) - 1)), whole).otherwise(found)
+
+        rates = lambda cs: F.transform(cs, lambda c, i: F.when(i == 0, 0.0).otherwise(F.get(table, F.get(cs, i - 1) * SIZE + c)))
+        return _let(_let(_codes(value), rates), judged)
+
     def judge(span):
-        codes = _codes(span["value"])
-        first = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-        total = F.aggregate(codes, first, lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(table, acc["last"] * SIZE + c))).alias("sum")), lambda acc: acc["sum"])
+        """Spans of the random stretches of a string and of each of its parts: a part counts as it does alone."""
+        value = span["value"]
+        text = lambda s: F.substring(value, s["start"] + 1, s["end"] - s["start"])
+        within = lambda part: F.transform(_let(text(part), random), lambda s: F.struct((part["start"] + s["start"]).alias("start"), (part["start"] + s["end"]).alias("end")))
+        found = _joined_up(F.flatten(F.transform(_parts(value), within)))
+        spans = F.transform(found, lambda s: F.struct((span["start"] + s["start"]).alias("start"), (span["start"] + s["end"]).alias("end"), F.lit(KINDS[3]).alias("kind"), text(s).alias("value")))
         # digits alone are numbers, however random
-        return span["value"].rlike("[A-Za-z]") & (total >= LEAST_RATIO) & (total >= LEAST_MEAN * (F.length(span["value"]) - 1))
+        return F.filter(spans, lambda s: s["value"].rlike("[A-Za-z]"))
 
     return judge
 
 
+def _outside(run: Column, spans: Column) -> Column:
+    """What is left of a run outside the given spans."""
+
+    def upto(acc, end):
+        value = F.substring(run["value"], acc["at"] - run["start"] + 1, end - acc["at"])
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), run["kind"].alias("kind"), value.alias("value"))
+        return F.when(acc["at"] < end, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+
+    def step(acc, b):
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), upto(acc, F.least(b["start"], run["end"])).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), F.struct(run["start"].alias("at"), _none().alias("out")), step, lambda acc: upto(acc, run["end"]))
+
+
 def _spans_now(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     return docs.withColumns({"base": base_spans(text), "seen": _spans(text, CANDIDATE, "markov")})
 
 
 def _all_spans(ratios: list[float]) -> Column:
-    free = F.filter("seen", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.concat("base", F.filter(free, _judged(ratios)))
+    parts = F.flatten(F.transform("seen", lambda s: _outside(s, F.col("base"))))
+    return F.concat("base", F.flatten(F.transform(parts, _judged(ratios))))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of secrets in each text.
 
-    Base spans come from the fixed patterns. Every other string of CANDIDATE that overlaps none of
-    them is scored by two first-order character Markov models, of random strings and of ordinary
+    Base spans come from the fixed patterns. What lies outside them in the strings of CANDIDATE is
+    scored by two first-order character Markov models, of random strings and of ordinary
     identifiers, trained from labelled_strings(); a string whose log-likelihood ratio reaches
-    LEAST_RATIO in all and LEAST_MEAN for each transition is added as kind ``markov``.
+    LEAST_RATIO in all and LEAST_MEAN for each transition is added as kind ``markov``. Of other
+    strings, every stretch that reaches both is added, with its ends moved to separators where it
+    covers half of what they bound; parts between separators are also judged alone, so a key is
+    found after a path or prefix as often as by itself.
 
     A null text counts as empty and has no spans; an empty table gives an empty result; rows with
     equal ids are judged each by its own text; columns other than id and text are ignored.
