@@ -43,7 +43,23 @@ def test_matches_sql(spark, duck, name):
         (urls.frontier_key, "https://e.com/p?gclid=9", "https://e.com/p"),
         (urls.repeats_segment, "https://e.com/a/a/a/b", True),
         (urls.repeats_segment, "https://e.com/a/b/a/b", False),
+        (urls.repeats_segment, "https://e.com/a/a/b", False),
+        (urls.repetitive_path, "https://e.com/a/a/b", True),
+        (urls.repetitive_path, "https://e.com/b/a/a", True),
+        (urls.repetitive_path, "https://e.com/a/a/a/b", True),
+        (urls.repetitive_path, "https://e.com/a//a", False),
+        (urls.repetitive_path, "https://e.com/a/ab/b", False),
+        (urls.repetitive_path, "https://e.com/a?x=/b/b", False),
+        (urls.contains_space, "https://e.com/a%20b", True),
+        (urls.contains_space, "https://e.com/a?q=b+c", True),
+        (urls.contains_space, "https://e.com/a?q=b#c+d", False),
     ],
 )
 def test_url_expressions(spark, function, value, want):
     assert spark.range(1).select(function(F.lit(value))).first()[0] == want
+
+
+def test_url_rules_on_known_urls(spark, tmp_path):
+    rows = [(0, "https://e.com/a/a/b"), (1, "https://e.com/a%20b"), (2, "https://e.com/a/b/a")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {tuple(r) for r in QUERIES["url_rules"](spark, str(tmp_path)).collect()} == {(0, "url_repetitive_path"), (1, "url_contains_space")}

@@ -20,10 +20,24 @@ def sitemap_key(url: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_col(url)), "^https?://(www\\.)?", ""), "/+$", "")
 
 
+def _path(url: str | Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(_col(url), "^[A-Za-z]+://[^/?#]*", ""), "[?#].*$", "")
+
+
 def repeats_segment(url: str | Column) -> Column:
-    """Whether a path has one segment three times running."""
-    path = F.regexp_replace(F.regexp_replace(_col(url), "^[A-Za-z]+://[^/?#]*", ""), "[?#].*$", "")
-    return path.rlike("(?:^|/)([^/]+)(?:/\\1){2}(?:/|$)")
+    """Whether a path has one segment three times running, as crawl traps do."""
+    return _path(url).rlike("(?:^|/)([^/]+)(?:/\\1){2}(?:/|$)")
+
+
+def repetitive_path(url: str | Column) -> Column:
+    """Whether a path has two equal segments side by side."""
+    return _path(url).rlike("(?:^|/)([^/]+)/\\1(?:/|$)")
+
+
+def contains_space(url: str | Column) -> Column:
+    """Whether a URL holds an encoded space: %20 anywhere, or + in path or query."""
+    rest = F.regexp_replace(F.regexp_replace(_col(url), "^[A-Za-z]+://[^/?#]*", ""), "#.*$", "")
+    return _col(url).contains("%20") | rest.contains("+")
 
 
 def query_params(url: str | Column) -> Column:

@@ -138,7 +138,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on the URL alone: one pass, one explode."""
     url = F.col("url")
     path = F.regexp_replace(F.regexp_replace(url, "^[A-Za-z]+://[^/?#]*", ""), "[?#].*$", "")
-    rules = {"url_uppercase": path.rlike("[A-Z]"), "url_underscores": path.contains("_"), "url_has_parameters": url.rlike("\\?[^#]"), "url_too_long": F.octet_length(url) > 115, "url_multiple_slashes": path.contains("//"), "url_repetitive_path": U.repeats_segment(url)}
+    rules = {"url_uppercase": path.rlike("[A-Z]"), "url_underscores": path.contains("_"), "url_has_parameters": url.rlike("\\?[^#]"), "url_too_long": F.octet_length(url) > 115, "url_multiple_slashes": path.contains("//"), "url_repetitive_path": U.repetitive_path(url), "url_contains_space": U.contains_space(url)}
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     return T.urls(spark, sf_dir).select("url_id", F.explode(found).alias("issue_type"))
 
