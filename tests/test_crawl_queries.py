@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.operators.crawl import QUERIES
+from webloom.operators.crawl import QUERIES, recomputed_depths
 from webloom.plans.oracles import ORACLES
 
 DATA = "/root/testdata/sf0.001"
@@ -63,3 +63,12 @@ def test_url_rules_on_known_urls(spark, tmp_path):
     rows = [(0, "https://e.com/a/a/b"), (1, "https://e.com/a%20b"), (2, "https://e.com/a/b/a")]
     spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {tuple(r) for r in QUERIES["url_rules"](spark, str(tmp_path)).collect()} == {(0, "url_repetitive_path"), (1, "url_contains_space")}
+
+
+def test_page_depths(spark):
+    """The nearest seed counts, links and seeds off the crawl don't, and pages that no seed reaches keep their depth; page 0 needn't be there."""
+    pages = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (4, 9), (5, 9), (6, 7), (7, 5)], "url_id long, depth long")
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 4), (4, 1), (6, 7), (1, 50), (50, 6), (60, 7)], "source_id long, target_id long")
+    seeds = spark.createDataFrame([(1,), (5,), (60,)], "url_id long")
+    assert {tuple(r) for r in recomputed_depths(spark, pages, links, seeds).collect()} == {(1, 0), (2, 1), (3, 2), (4, 1), (5, 0), (6, 7), (7, 5)}
+    assert {tuple(r) for r in recomputed_depths(spark, pages, links, seeds.limit(0)).collect()} == {tuple(r) for r in pages.collect()}

@@ -176,12 +176,12 @@ def cluster_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.where("value != ''").groupBy("cluster_type", "value").agg(F.count(F.lit(1)).alias("member_count"), F.min("url_id").alias("first_id")).where("member_count > 1")
 
 
-def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least number of links from page 0 to every page that links reach, level by level."""
+def _levels(spark: SparkSession, links: DataFrame, start: DataFrame) -> DataFrame:
+    """Least number of links from any page of ``start`` (url_id) to every page that links reach, level by level."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webloom-"))
-    links = _links(spark, sf_dir).select("source_id", "target_id").distinct().checkpoint()
-    seen = T.urls(spark, sf_dir).where("url_id = 0").select("url_id", F.lit(0).cast("long").alias("depth")).checkpoint()
+    links = links.select("source_id", "target_id").distinct().checkpoint()
+    seen = start.select("url_id", F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
     level = 0
     while True:
         front = seen.where(F.col("depth") == level)
@@ -194,6 +194,27 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen = grown
 
 
+def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least number of links from page 0 to every page that links reach; page_depths() starts from all seeds."""
+    return _levels(spark, _links(spark, sf_dir), T.urls(spark, sf_dir).where("url_id = 0"))
+
+
+def recomputed_depths(spark: SparkSession, pages: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every page (url_id, depth) with its least number of links from any seed; those that no seed reaches keep their depth.
+
+    Seeds and ends of links that are no pages don't count.
+    """
+    own = pages.select("url_id")
+    ends = links.join(own.withColumnRenamed("url_id", "source_id"), "source_id", "left_semi").join(own.withColumnRenamed("url_id", "target_id"), "target_id", "left_semi")
+    new = _levels(spark, ends, seeds.join(own, "url_id", "left_semi")).withColumnRenamed("depth", "new_depth")
+    return pages.join(new, "url_id", "left").select("url_id", F.coalesce("new_depth", F.col("depth").cast("long")).alias("depth"))
+
+
+def page_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of all pages, recomputed from all seeds."""
+    return recomputed_depths(spark, T.pages(spark, sf_dir).select("url_id", "depth"), _links(spark, sf_dir), T.urls(spark, sf_dir).where("discovered_via = 'seed'"))
+
+
 def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over pages in one pass."""
     p = T.pages(spark, sf_dir)
@@ -211,4 +232,4 @@ def srt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.pages(spark, sf_dir).select("url_id", "depth").orderBy(F.desc("depth"), "url_id").offset(100).limit(100)
 
 
-QUERIES = {f.__name__: f for f in (duplicate_title, duplicate_h1, duplicate_content, thin_content, title_length, link_counts, orphan_page, no_internal_outlinks, js_only_navigation, win_latest, canonical_to_non_200, canonical_chain, non_indexable_canonical, unlinked_canonical, crawled_not_in_sitemap, in_sitemap_not_crawled, in_sitemap_robots_blocked, non_indexable_in_sitemap, url_in_multiple_sitemaps, http_to_https_missing, url_rules, url_frontier_key, agg_group_count, agg_order_statistics, win_ring10, cluster_canonical, cluster_duplicate, graph_bfs, crawl_summary, srt_pages)}
+QUERIES = {f.__name__: f for f in (duplicate_title, duplicate_h1, duplicate_content, thin_content, title_length, link_counts, orphan_page, no_internal_outlinks, js_only_navigation, win_latest, canonical_to_non_200, canonical_chain, non_indexable_canonical, unlinked_canonical, crawled_not_in_sitemap, in_sitemap_not_crawled, in_sitemap_robots_blocked, non_indexable_in_sitemap, url_in_multiple_sitemaps, http_to_https_missing, url_rules, url_frontier_key, agg_group_count, agg_order_statistics, win_ring10, cluster_canonical, cluster_duplicate, graph_bfs, page_depths, crawl_summary, srt_pages)}

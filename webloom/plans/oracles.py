@@ -62,3 +62,5 @@ _BODIES = {
 ORACLES = {name: f"WITH {VIEWS} {body}" for name, body in _BODIES.items()}
 #: Links walked level by level; a pair of page and depth is kept once, so the cyclic graph ends.
 ORACLES["graph_bfs"] = f"WITH RECURSIVE {VIEWS}, e AS (SELECT DISTINCT source_id, target_id FROM l), b AS (SELECT CAST(0 AS BIGINT) AS url_id, CAST(0 AS BIGINT) AS depth UNION SELECT e.target_id, b.depth + 1 FROM b JOIN e ON e.source_id = b.url_id WHERE b.depth < 20) SELECT url_id, min(depth) AS depth FROM b GROUP BY url_id"
+#: From all seeds; a page is walked on from once, at its first and least depth. Pages that are not reached keep their depth.
+ORACLES["page_depths"] = f"WITH RECURSIVE {VIEWS}, e AS (SELECT DISTINCT source_id, target_id FROM l), b(url_id, depth) USING KEY (url_id) AS (SELECT url_id, CAST(0 AS BIGINT) FROM u WHERE via = 'seed' UNION SELECT e.target_id, min(b.depth) + 1 FROM b JOIN e ON e.source_id = b.url_id WHERE NOT EXISTS (SELECT 1 FROM recurring.b AS r WHERE r.url_id = e.target_id) GROUP BY e.target_id) SELECT p.url_id, coalesce(b.depth, p.depth) AS depth FROM p LEFT JOIN b USING (url_id)"
