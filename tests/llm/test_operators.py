@@ -119,26 +119,34 @@ def test_secrets_joined_to_other_text(spark):
     assert [len(found[i]) for i in texts] == [1, 1, 1, 2, 1, 1, 0, 0]
 
 
-def test_jaccard_signatures():
-    """No pair of different labels that reaches the similarity is left out, whatever the block size."""
+def test_jaccard_filters():
+    """No pair of different labels that reaches the similarity is left out by the three orders, whatever the block size."""
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 60, 160)
+    base = rng.integers(0, 1 << 60, 160).astype(np.uint64)
+    level = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    level[base >> np.uint64(64 - jaccard.SKETCH_BITS)] = 9
     sets = []
     for k in range(150):
         own = base[: rng.integers(60, 161)].copy()
-        own[rng.random(len(own)) < rng.choice([0, 0.05, 0.1, 0.15, 0.3])] += k + 1
-        sets.append(np.unique(own).astype(np.uint64))
-    sets.sort(key=len)
-    n, label = np.array([len(x) for x in sets]), rng.integers(0, 40, len(sets))
-    parity = jaccard._parity(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
-    assert not jaccard._parity(sets[0][:0], np.array([0, 0])).any()
+        own[rng.random(len(own)) < rng.choice([0, 0.05, 0.1, 0.15, 0.3])] += np.uint64(k + 1)
+        own = np.unique(own)
+        sets.append(own[np.lexsort((jaccard.mix(own), jaccard._level_of(own, level)))])
+    label = rng.integers(0, 40, len(sets))
+    rows = []
+    for k, s in enumerate(sets):
+        p = int(jaccard._prefix(np.int64(len(s))))
+        parity, heads = jaccard.suffix_parity(s, p), [jaccard._sketch(h) for h in jaccard._heads(s)]
+        assert all(np.bitwise_count(parity[i] ^ jaccard.suffix_parity(s[i:], 1)[0]).sum() == 0 for i in range(p))
+        rows += [(int(s[i]), len(s), k, i, *heads, parity[i]) for i in range(p)]
+    rows.sort(key=lambda r: r[:2])
+    key, n, doc, place, second, third = (np.array([r[c] for r in rows]) for c in range(6))
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if label[i] != label[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert len(want) > 100
-    found = []
-    old = jaccard.BLOCK
+    found, old = [], jaccard.BLOCK
     try:
         for jaccard.BLOCK in (1, 300, old):
-            found.append({p for i, j in jaccard._apart(n, label, parity) for p in zip(i.tolist(), j.tolist(), strict=True)})
+            pairs = jaccard._apart(key, label[doc], n, place, np.stack((second, third)), np.stack([r[6] for r in rows]))
+            found.append({(min(p), max(p)) for i, j in pairs for p in zip(doc[i].tolist(), doc[j].tolist(), strict=True)})
     finally:
         jaccard.BLOCK = old
     assert found[0] == found[1] == found[2] and want <= found[0]
@@ -157,11 +165,22 @@ def test_jaccard(docs, none):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = {k: new if v == old else v for k, v in root.items()}
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
-    assert got == {(i, len(sets[i]), root[i]) for i in sets}
+    want = {(i, len(sets[i]), root[i]) for i in sets}
+    triples = lambda df: {(r.doc_id, r.n_shingles, r.component_id) for r in df.collect()}
+    assert triples(jaccard.jaccard_components(docs)) == want
+    # lists dealt over parts, and every list dealt by the second order
+    assert triples(jaccard.jaccard_components(docs, long_list=2, heavy_list=0)) == want
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_ids(spark):
+    """Repeated rows, one id with two texts, and null ids: every row comes back, judged by its own text."""
+    prose = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(7, prose[0]), (7, prose[0]), (7, prose[1]), (None, prose[1]), (None, prose[2]), (9, prose[0] + " more"), (3, prose[3]), (None, None), (5, "")]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(7, 56, 7), (7, 56, 7), (7, 56, 7), (-1, 56, 7), (-1, 56, -1), (9, 57, 7), (3, 56, 3), (-1, 0, -1), (5, 0, 5)])
+
+
 def test_sharding(docs, none):
     rows = sorted(sharding.shard_by_bytes(docs, 5).collect(), key=lambda r: r.doc_id)
     total, before, slots = sum(r.size for r in rows), 0, Counter()

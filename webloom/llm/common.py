@@ -6,6 +6,7 @@ character, so working on bytes gives the same words as working on code points.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -20,9 +21,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a temporary folder stands in if driver and executors are one process; on a
+    cluster that is an error, as every machine would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="webloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,13 +44,26 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stashed table that no later step reads."""
-    spark = df.sparkSession
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/webloom/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stash(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables that no later step reads, and let go of finished steps' shuffle files."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if "/webloom/" in f:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        # Spark deletes shuffle files once the driver's JVM has collected what refers to them
+        tables[0].sparkSession._jvm.java.lang.System.gc()
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers stay for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def chunks(batches, limit: int = 4 << 20, column: int = 1):
@@ -60,6 +81,7 @@ def chunks(batches, limit: int = 4 << 20, column: int = 1):
             to = min(to, len(col))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def as_bytes(column) -> list[bytes]:
