@@ -53,8 +53,12 @@ def drop_stash(*tables: DataFrame) -> None:
                 path = spark._jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        # Spark deletes shuffle files once the driver's JVM has collected what refers to them
-        tables[0].sparkSession._jvm.java.lang.System.gc()
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files: Spark deletes them once the driver's JVM has collected what refers to them."""
+    spark._jvm.java.lang.System.gc()
 
 
 def give_back() -> None:
