@@ -122,9 +122,9 @@ def test_secrets_joined_to_other_text(spark):
 def test_jaccard_filters():
     """No pair of different labels that reaches the similarity is left out by the three orders, whatever the block size."""
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 60, 160).astype(np.uint64)
+    base = rng.integers(0, 1 << 52, 160).astype(np.uint64)
     level = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
-    level[base >> np.uint64(64 - jaccard.SKETCH_BITS)] = 9
+    level[base >> np.uint64(jaccard.TOKEN_BITS - jaccard.SKETCH_BITS)] = 9
     sets = []
     for k in range(150):
         own = base[: rng.integers(60, 161)].copy()
