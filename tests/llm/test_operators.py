@@ -71,11 +71,38 @@ def test_quality_outliers_in_groups_of_any_size(spark):
     got = quality_rules.judge_quality(docs).collect()
     assert len(got) == len(rows) and not any(r.base_failed or r.distance is None for r in got)
     assert {r.doc_id for r in got if not r.kept} == bad
-    # no group reaches LEAST_ROWS, nor does the table
+    # the few rows of a small table are judged too
     few = docs.where("source != 'large' or source is null")
     assert {r.doc_id for r in quality_rules.judge_quality(few).collect() if not r.kept} == bad - {0}
 
 
+def test_quality_against_direct_estimate(spark):
+    """Distances equal those of concentration steps taken directly on the rows of one group of several hundred."""
+    rng, D = np.random.default_rng(4), quality_rules.D
+    vocabulary = ["".join(rng.choice(list("aeioustrnKM,.")) for _ in range(rng.integers(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(60, 140))) + ("\nsame\nsame" if k % 3 == 0 else "") for k in range(500)]
+    texts[::50] = [t.replace(" ", " ### ") for t in texts[::50]]
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = np.array([r.distance for r in sorted(quality_rules.judge_quality(docs).collect(), key=lambda r: r.doc_id)])
+    stats = quality_rules.text_statistics([t.encode() for t in texts])
+    x = np.stack([stats[v] for v in quality_rules.VECTOR], axis=1)
+    assert np.linalg.matrix_rank(np.cov(x.T)) >= D - 1
+
+    def steps(mean, cov):
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + quality_rules._RIDGE), x - mean)
+            near = np.argsort(d)[: int(quality_rules.H_SHARE * len(x))]
+            mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True)
+        return np.linalg.slogdet(cov + quality_rules._RIDGE)[1], mean, cov
+
+    spread = (np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349
+    _, mean, cov = min(steps(np.median(x, axis=0), np.diag(spread**2)), steps(x.mean(axis=0), np.cov(x.T, bias=True)), key=lambda m: m[0])
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + quality_rules._RIDGE), x - mean)
+    want /= max(1.0, np.median(want) / quality_rules.CHI2_MEDIAN)
+    assert np.corrcoef(got, want)[0, 1] > 0.98 and np.median(np.abs(got / want - 1)) < 0.15
+    assert set(np.flatnonzero(got > quality_rules.CUTOFF)) == set(np.flatnonzero(want > quality_rules.CUTOFF)) == set(range(0, 500, 50))
+
+
 def test_secrets(docs, none, spark):
     got = {r.doc_id: r for r in secrets.digest(secrets.scan_secrets(docs)).collect()}
     rules = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
