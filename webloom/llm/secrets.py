@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_stash, stash
 
 # The patterns of the base kinds and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,8 +22,10 @@ SIZE = len(ALPHABET) + 1
 #: Strings that the models judge.
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
-#: Bounds of the labelled samples: random strings (values of base spans), and documents whose other strings are ordinary.
+#: Defaults of the bounds of the labelled samples: random strings (values of base spans), and documents whose other strings are ordinary.
 RANDOM_SAMPLE, ORDINARY_DOCS = 20_000, 2_000
+#: Spans put together at a time.
+SPANS_AT_ONCE = 128
 #: Log-likelihood ratio (nats) from which a string is random: in all, and for each transition.
 LEAST_RATIO, LEAST_MEAN = 20.0, 0.7
 #: A stretch ends where the ratio has fallen so far below its peak.
@@ -40,6 +42,8 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else match
     pairs = F.arrays_zip(match.alias("m"), F.split(text, pattern, -1).alias("gap"), value.alias("v"))
+    zipped = F.filter(pairs, lambda x: x["m"].isNotNull())  # split leaves one part more, the rest of the text
+    length = lambda x: F.length(x["gap"]) + F.length(x["m"])
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -47,9 +51,17 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    zipped = F.filter(pairs, lambda x: x["m"].isNotNull())  # split leaves one part more, the rest of the text
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def of_slices(rows):
+        # an array grows by copying: SPANS_AT_ONCE at a time, so many spans take no time with their square
+        n = F.ceil(F.size(rows) / SPANS_AT_ONCE).cast("int")
+        part = lambda k: F.slice(rows, k * SPANS_AT_ONCE + 1, F.lit(SPANS_AT_ONCE))
+        slices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        total = lambda k: F.aggregate(part(k), F.lit(0), lambda acc, x: acc + length(x))
+        offsets = F.aggregate(F.transform(slices, total), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        within = lambda at: F.transform(slices, lambda k: F.aggregate(part(k), F.struct(F.get(at, k).alias("at"), _none().alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(_let(offsets, within))
+
+    return _let(zipped, of_slices)
 
 
 def _none() -> Column:
@@ -109,18 +121,21 @@ def log_ratios(tokens: DataFrame) -> list[float]:
     return [x - y for x, y in zip(logs(counts[1]), logs(counts[0]), strict=True)]
 
 
-def labelled_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _sampled(rows: DataFrame, h: str, most: int) -> DataFrame:
+    """About ``most`` rows (all, if fewer), those whose hash is under a threshold; no task gathers or sorts them."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.col(h), F.lit(1 << 32)) < F.lit(int(most / n * (1 << 32))))
+
+
+def labelled_strings(docs: DataFrame, found: DataFrame, random_sample: int = RANDOM_SAMPLE, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
     """Labelled samples: values of base spans are random (1), other long strings that recur in sampled documents ordinary (0).
 
-    Bounded by RANDOM_SAMPLE strings and ORDINARY_DOCS documents, those with the smallest hashes (rows
-    with the id of the last are all in it). An empty table samples nothing.
+    About ``random_sample`` strings and ``ordinary_docs`` documents are taken, by their hashes (all,
+    if there are fewer). An empty table samples nothing.
     """
     values = found.select(F.explode("base").alias("s"), "doc_id").select(F.col("s.value").alias("token"), F.xxhash64("s.value", "doc_id", "s.start").alias("h"))
-    random = values.orderBy("h", "token").limit(RANDOM_SAMPLE).select(F.lit(1).alias("label"), "token")
-    # the hashes choose, so no task gathers the texts themselves
-    hashes = docs.select(F.xxhash64("doc_id").alias("h"))
-    last = hashes.orderBy("h").limit(ORDINARY_DOCS).agg(F.max("h")).first()[0]
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= F.lit(last))
+    random = _sampled(values, "h", random_sample).select(F.lit(1).alias("label"), "token")
+    sample = _sampled(docs.select("text", F.xxhash64("doc_id").alias("h")), "h", ordinary_docs)
     # a string that two documents hold is an identifier or a word; a secret stands in one
     for pattern in (ASSIGN, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", f"[0-9a-f]{{{HEX_LEAST},}}"):
         sample = sample.withColumn("text", F.regexp_replace("text", pattern, " "))
@@ -246,17 +261,12 @@ def _outside(run: Column, spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(run["start"].alias("at"), _none().alias("out")), step, lambda acc: upto(acc, run["end"]))
 
 
-def _spans_now(docs: DataFrame) -> DataFrame:
-    text = F.col("text")
-    return docs.withColumns({"base": base_spans(text), "seen": _spans(text, CANDIDATE, "markov")})
-
+def _all_spans(ratios: list[float], base: Column, seen: Column) -> Column:
+    parts = F.flatten(F.transform(seen, lambda s: _outside(s, base)))
+    return F.concat(base, F.flatten(F.transform(parts, _judged(ratios))))
 
-def _all_spans(ratios: list[float]) -> Column:
-    parts = F.flatten(F.transform("seen", lambda s: _outside(s, F.col("base"))))
-    return F.concat("base", F.flatten(F.transform(parts, _judged(ratios))))
 
-
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_sample: int = RANDOM_SAMPLE, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
     """Spans of secrets in each text.
 
     Base spans come from the fixed patterns. What lies outside them in the strings of CANDIDATE is
@@ -267,34 +277,44 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     covers half of what they bound; parts between separators are also judged alone, so a key is
     found after a path or prefix as often as by itself.
 
-    A null text counts as empty and has no spans; an empty table gives an empty result; rows with
-    equal ids are judged each by its own text; columns other than id and text are ignored.
+    The models are fitted on about ``random_sample`` labelled strings and ``ordinary_docs``
+    documents; every text is judged. A null text counts as empty and has no spans; an empty table
+    gives an empty result; rows with equal ids are judged each by its own text; columns other than
+    id and text are ignored.
 
     Returns doc_id and spans, array<struct<start, end, kind, value>> in code points.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = stash(_spans_now(docs).select("doc_id", "base", "seen"), "secrets-found")
-    return found.select("doc_id", _all_spans(log_ratios(labelled_strings(docs, found))).alias("spans"))
+    found = stash(docs.select("doc_id", base_spans(F.col("text")).alias("base"), _spans(F.col("text"), CANDIDATE, "markov").alias("seen")), "secrets-found")
+    ratios = log_ratios(labelled_strings(docs, found, random_sample, ordinary_docs))
+    return found.select("doc_id", _all_spans(ratios, F.col("base"), F.col("seen")).alias("spans"))
 
 
-def mask_secrets(docs: DataFrame) -> DataFrame:
-    """The same rows, every secret in ``text`` replaced by MASK (null stays null); docs has doc_id and text.
+def mask_secrets(docs: DataFrame, random_sample: int = RANDOM_SAMPLE, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
+    """The same rows and columns, every secret in ``text`` replaced by MASK (null stays null); docs has doc_id and text.
 
-    The models are trained first; the rows then need one more pass and no join.
+    The models are trained first; the rows then need one more pass and no join. Columns of any
+    other name pass through as they are. Rows with equal or null ids are masked each by its own
+    text; an empty table gives an empty result.
     """
     columns = docs.columns
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = stash(_spans_now(texts).where("size(base) > 0").select("doc_id", "base"), "secrets-found")
-    ratios = log_ratios(labelled_strings(texts, found))
-    spans = _spans_now(docs).withColumn("spans", _all_spans(ratios))
-    return spans.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans")))).select(*columns)
+    found = stash(texts.select("doc_id", base_spans(F.col("text")).alias("base")).where("size(base) > 0"), "secrets-found")
+    ratios = log_ratios(labelled_strings(texts, found, random_sample, ordinary_docs))
+    drop_stash(found)
+    fresh = lambda name: name if name not in columns else fresh(name + "_")
+    base, seen, spans = fresh("base"), fresh("seen"), fresh("spans")
+    text = F.col("text")
+    rows = docs.withColumns({base: base_spans(text), seen: _spans(text, CANDIDATE, "markov")})
+    rows = rows.withColumn(spans, _all_spans(ratios, F.col(f"`{base}`"), F.col(f"`{seen}`")))
+    return rows.withColumn("text", F.when(text.isNotNull(), masked(text, F.col(f"`{spans}`")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and the written spans."""
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    """doc_id, n_assign, n_access, n_hex, base_sha256, the written spans, and n_markov."""
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
-    return spans.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), count(KINDS[3]))
 
 
 def masked(text: Column, spans: Column) -> Column:
