@@ -38,7 +38,8 @@ def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
     product of offsets), and by Cauchy and Schwarz the latter is at most the product of deviations.
     So |q|^2 + |c|^2 less twice the bound is a lower bound of the squared distance. The k-th best
     exact score among the candidates with the best coarse bounds is the bar; only candidates whose
-    coarse bound, then fine bound, reach it are scored exactly.
+    coarse bound, then fine bound, reach it are scored exactly. Scores beyond the range of a long
+    are its ends; ties go to the smaller id. Empty blocks give nothing.
     """
     width = max(q.shape[1], c.shape[1])
     q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
@@ -64,7 +65,7 @@ def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
             score = np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[at + x], c[y], strict=True)))) for x, y in zip(i, j, strict=True)], dtype=np.int64)
         else:
             score = np.einsum("ij,ij->i", q[at + i], c[j]).astype(np.int64)
-        order = np.lexsort((cid[j], -score.astype(float) if not big else -(score // 2), i))
+        order = np.lexsort((cid[j], ~score, i))  # the complement of an integer falls as it rises, without overflow
         i, j, score = i[order], j[order], score[order]
         first = np.searchsorted(i, i)
         best = np.arange(len(i)) - first < k
