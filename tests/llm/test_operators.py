@@ -246,6 +246,43 @@ def test_topk(spark):
     assert topk.topk(df.limit(0), df.limit(0), 4).count() == 0
 
 
+def test_topk_beyond_doubles():
+    """Scores that differ in their last bit only, above 2**53, are told apart."""
+    q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**13, 0.0], [2.0**13, 1.0]])
+    _, best, score = topk.block_topk(np.array([0]), q, np.array([1, 2]), c, 1)
+    assert best.tolist() == [2] and score.tolist() == [2**53 + 1]
+
+
+def test_secrets_recall(spark):
+    """Of random strings set into prose without a keyword most are found, and hardly any ordinary string."""
+    rnd = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    syllables = ["ing", "tion", "re", "the", "er", "ou", "man", "der", "Le", "Ge"]
+    ordinary = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(4, 9))) for _ in range(200)]
+    labelled = [(1000 + k, " ".join(rnd.sample(ordinary, 60)) + f" token = {key(30)}") for k in range(80)]
+    planted = {k: (rnd.choice(ordinary) + " ", key(24)) for k in range(200)}
+    clean = [(500 + k, " ".join(rnd.sample(ordinary, 20)) + " " + "_".join(rnd.sample(ordinary, 3))) for k in range(200)]
+    rows = [(k, a + b + " end") for k, (a, b) in planted.items()] + clean + labelled
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.spans if s.kind == "markov"] for r in secrets.scan_secrets(docs).collect()}
+    hit = [any(s.start <= len(a) and len(a) + 20 <= s.end for s in found[k]) for k, (a, _) in planted.items()]
+    assert np.mean(hit) > 0.85 and sum(bool(found[k]) for k, _ in clean) <= 2
+
+
+def test_secrets_clashing_columns_and_many_spans(spark):
+    """Columns of the names that the operator uses inside come back as they were; a text may hold thousands of spans."""
+    text = " ".join(f"token: abcdef{k:04d}" for k in range(2000))
+    rows = [(1, text, "keep", 7, "x"), (1, text, "keep", 7, "x"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, seen int, spans string")
+    got = secrets.mask_secrets(docs).orderBy("doc_id").collect()
+    assert docs.columns == list(got[0].asDict()) and got[0].text is None
+    assert got[1] == got[2] and got[1].text == " ".join([secrets.MASK] * 2000) and (got[1].base, got[1].seen, got[1].spans) == ("keep", 7, "x")
+    spans = secrets.scan_secrets(docs.where("doc_id = 1").limit(1)).first().spans
+    assert [(s.start, s.end) for s in spans] == [(m.start(), m.end()) for m in re.finditer(r"token: abcdef\d{4}", text)]
+    assert secrets.digest(secrets.scan_secrets(docs)).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
 def test_pieces(docs, none):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL_FILE)
     encoded = pieces.encode(docs)
@@ -262,6 +299,51 @@ def test_classifier(docs, none):
     assert {r.score for r in nbsvm.classify(docs, none).collect()} == {0.5}
 
 
+def test_classifier_fit():
+    """The features of one text, the log-count ratios, and the dual's optimum by another way of finding it."""
+    doc, feature = nbsvm.features([b"abcd", b"abcde", b""])
+    # abc, bcd, abcd and two with the line's end; the longer text shares the first three
+    assert len(feature[doc == 0]) == 5 and len(feature[doc == 1]) == 7 and not (doc == 2).any()
+    assert len(set(feature[doc == 0]) & set(feature[doc == 1])) == 3
+    rng = np.random.default_rng(2)
+    labels = np.arange(60) % 2
+    rows = [np.unique(np.concatenate((rng.integers(0, 40, 6), rng.integers(40 + 30 * y, 70 + 30 * y, 5)))).astype(np.int32) for y in labels]
+    old = nbsvm.PASSES
+    try:
+        nbsvm.PASSES = 400
+        w, r2, bias, _, _ = nbsvm.fit(rows, labels)
+    finally:
+        nbsvm.PASSES = old
+    learn = np.arange(60) % 5 != 4
+    x, y = np.zeros((60, 100)), np.where(labels > 0, 1.0, -1.0)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    count = lambda k: x[learn & (labels == k)].sum(axis=0) + nbsvm.ALPHA
+    n = lambda k: (learn & (labels == k)).sum() + 2 * nbsvm.ALPHA
+    ratio = np.log(count(1) / n(1)) - np.log(count(0) / n(0))
+    assert np.allclose(r2[:100], ratio**2)
+    z = np.hstack((x * ratio / np.linalg.norm(x * ratio, axis=1, keepdims=True), np.ones((60, 1))))[learn]
+    y = y[learn]
+    limit = np.array([nbsvm.PENALTY * len(y) / (2 * (y == k).sum()) for k in y])
+    alpha, q = np.zeros(len(y)), (z @ z.T) * np.outer(y, y)
+    for _ in range(20_000):  # projected gradient on the dual
+        alpha = np.clip(alpha - 0.02 * (q @ alpha - 1), 0, limit)
+    best = z.T @ (alpha * y)
+    assert np.allclose(w[:100], best[:-1] * ratio, atol=1e-3) and abs(bias - best[-1]) < 1e-3
+
+
+def test_classifier_held_out(spark):
+    """Held-out rows of planted quality are told apart; a bound on features keeps fewer rows, and a very long text is scored."""
+    rnd = random.Random(6)
+    good = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))) for _ in range(200)]
+    bad = ["".join(rnd.choice("ghijkl%$") for _ in range(rnd.randint(3, 8))) for _ in range(200)]
+    rows = [(i, " ".join(rnd.choice(good if i % 2 else bad) for _ in range(60)), i % 2) for i in range(300)] + [(300, " ".join(good) * 1500, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    for bound in (nbsvm.SAMPLE_FEATURES, 60_000):
+        got = {r.doc_id: r.score for r in nbsvm.classify(docs.drop("label"), docs.where("doc_id < 200").select("doc_id", "label"), sample_features=bound).collect()}
+        assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(200, 300)]) >= 0.98 and got[300] > 0.5
+
+
 def test_mixing(docs, none):
     rows = mixing.pareto_mix(docs).collect()
     assert sorted(map(str, rows)) == sorted(map(str, mixing.pareto_mix(docs).collect()))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, as_bytes, chunks, mix
 
-#: Hashed features; labelled rows that the model is fitted on, those with the smallest hashes of their ids.
-BITS, SAMPLE = 18, 6000
+#: log2 of the hashed features; defaults of the bounds of the sample: labelled rows (about), and their features in all.
+BITS, SAMPLE, SAMPLE_FEATURES = 18, 6000, 24_000_000
 #: Smoothing of class counts; hinge penalty; passes of coordinate descent.
 ALPHA, PENALTY, PASSES = 1.0, 1.0, 12
 #: A row is predicted good from this score.
@@ -45,46 +45,41 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """(weights, squared ratios, bias, slope, offset); the score is sigmoid(slope * margin + offset).
+def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """(weights, squared ratios, bias, slope, offset) from each row's features; the score is sigmoid(slope * margin + offset).
 
     Indicators are scaled by the log-count ratio of the classes and rows to length 1; the dual of
     the hinge loss is climbed one row at a time, in a fixed order. Every fifth row is kept from
     the fit and sets the sigmoid.
     """
     size = 1 << BITS
-    doc, feature = [], []
-    for at in range(0, len(texts), 200):
-        d, f = features(texts[at : at + 200])
-        doc.append(d + at)
-        feature.append(f.astype(np.int32))
-    doc, feature = np.concatenate(doc), np.concatenate(feature)
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    count = np.fromiter(map(len, rows), np.int64, len(rows))
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    feature = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
     y = np.where(labels > 0, 1.0, -1.0)
-    aside = np.arange(len(texts)) % 5 == 4
-    learn = ~aside[doc]
-    good = np.bincount(feature[learn & (y[doc] > 0)], minlength=size) + ALPHA
-    bad = np.bincount(feature[learn & (y[doc] < 0)], minlength=size) + ALPHA
+    aside = np.arange(len(rows)) % 5 == 4
+    tally = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int32), *(rows[i] for i in np.flatnonzero(which & ~aside))]), minlength=size) + ALPHA
+    good, bad = tally(y > 0), tally(y < 0)
     n_good, n_bad = (y[~aside] > 0).sum() + 2 * ALPHA, (y[~aside] < 0).sum() + 2 * ALPHA
     ratio = np.log(good / n_good) - np.log(bad / n_bad)
-    norm = np.sqrt(np.maximum(np.add.reduceat(np.append(ratio[feature] ** 2, 0), bounds[:-1]) * (np.diff(bounds) > 0), 1e-12)) if len(texts) else np.zeros(0)
+    xs = lambda i: (feature[bounds[i] : bounds[i + 1]], ratio[feature[bounds[i] : bounds[i + 1]]] / norm[i])
+    norm = np.array([np.sqrt(max(float(np.square(ratio[r]).sum()), 1e-12)) for r in rows])
     w, bias = np.zeros(size), 0.0
-    alpha = np.zeros(len(texts))
-    rows = np.flatnonzero(~aside)
+    alpha = np.zeros(len(rows))
+    learnt = np.flatnonzero(~aside)
     # the rarer class weighs as much as the other
-    limit = np.where(y > 0, PENALTY * len(rows) / max(1, 2 * (y[rows] > 0).sum()), PENALTY * len(rows) / max(1, 2 * (y[rows] < 0).sum()))
+    limit = np.where(y > 0, PENALTY * len(learnt) / max(1, 2 * (y[learnt] > 0).sum()), PENALTY * len(learnt) / max(1, 2 * (y[learnt] < 0).sum()))
     order = np.random.default_rng(1)
-    xs = [(feature[bounds[i] : bounds[i + 1]], ratio[feature[bounds[i] : bounds[i + 1]]] / norm[i]) for i in range(len(texts))]
     for _ in range(PASSES):
-        for i in order.permutation(rows):
-            f, x = xs[i]
+        for i in order.permutation(learnt):
+            f, x = xs(i)
             new = min(max(alpha[i] - (y[i] * (x @ w[f] + bias) - 1.0) / 2.0, 0.0), limit[i])  # a row's length is 1, with its bias 2
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
                 w[f] += step * x
                 bias += step
-    margin = np.array([x @ w[f] + bias for f, x in xs]) if xs else np.zeros(0)
+    margin = np.array([x @ w[f] + bias for f, x in map(xs, range(len(rows)))]) if len(rows) else np.zeros(0)
     slope, offset = _sigmoid(margin[aside], y[aside] > 0) if aside.any() else (1.0, 0.0)
     return w * ratio, ratio**2, bias, slope, offset
 
@@ -102,17 +97,34 @@ def _sigmoid(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("h")
-    w, r2, bias, slope, offset = fit([x or b"" for x in pdf["text"]], pdf["label"].to_numpy())
+    w, r2, bias, slope, offset = fit([np.frombuffer(x, "<i4") for x in pdf["features"]], pdf["label"].to_numpy())
     return pd.DataFrame([{"w": w.astype("<f4").tobytes(), "r2": r2.astype("<f4").tobytes(), "bias": bias, "slope": slope, "offset": offset}])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = SAMPLE):
-    """Fit on at most ``sample`` labelled rows; what comes back has a fixed size. None if no labelled row has a text."""
-    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).alias("label"))
-    ids = ids.withColumn("h", F.xxhash64("of")).orderBy("h", "of").limit(sample)
-    # at most ``sample`` rows are broadcast
+def _featured(batches):
+    """Features of labelled texts, where they are read: no task gathers texts."""
+    for part in chunks(batches, column=2):
+        doc, feature = features(as_bytes(part.column(2)))
+        bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
+        own = [feature[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], names=["h", "label", "features"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, sample_features: int = SAMPLE_FEATURES):
+    """Fit on about ``sample`` labelled rows, those whose ids hash under a threshold, and of them, by hash, as many as have ``sample_features`` features in all.
+
+    What comes back has a fixed size. None if no labelled row has a text.
+    """
+    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("of"))
+    n = ids.count()
+    if n > sample:
+        ids = ids.where(F.pmod("h", F.lit(1 << 32)) < F.lit(int(sample / n * (1 << 32))))
+    # about ``sample`` rows are broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
-    rows = rows.groupBy("doc_id", "h", "label").agg(F.min("text").alias("text")).select("h", "label", "text", F.lit(0).alias("one"))
+    rows = rows.select("h", "label", "text").mapInArrow(_featured, "h long, label int, features binary")
+    rows = rows.groupBy("h", "label").agg(F.min("features").alias("features"))
+    upto = F.sum(F.octet_length("features") / 4).over(Window.orderBy("h"))  # over the sample's rows alone
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= sample_features).select("h", "label", "features", F.lit(0).alias("one"))
     got = rows.groupBy("one").applyInPandas(_fit_one, "w binary, r2 binary, bias double, slope double, offset double").collect()
     if not got:
         return None
@@ -127,7 +139,7 @@ def score_texts(texts: list[bytes], model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(slope * (total / norm + bias) + offset, -30, 30)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, sample_features: int = SAMPLE_FEATURES) -> DataFrame:
     """Score every text by a classifier fitted on a bounded, documented sample of the labelled rows.
 
     Null texts count as empty; an empty text has the score of the model's bias. Without a labelled
@@ -136,7 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Returns doc_id and score.
     """
-    model = train(docs, labels, id_col, text_col, label_col, sample)
+    model = train(docs, labels, id_col, text_col, label_col, sample, sample_features)
 
     def run(batches):
         for part in chunks(batches):
