@@ -36,29 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's own setting (4.1 on) by which a query's shuffle files go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The files of the query's shuffles are deleted once the table is written, as no later step reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stash(*tables: DataFrame) -> None:
-    """Delete the files of stashed tables that no later step reads, and let go of finished steps' shuffle files."""
+    """Delete the files of stashed tables that no later step reads."""
     for df in tables:
         spark = df.sparkSession
         for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             if "/webloom/" in f:
                 path = spark._jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        release(tables[0].sparkSession)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files: Spark deletes them once the driver's JVM has collected what refers to them."""
-    spark._jvm.java.lang.System.gc()
 
 
 def give_back() -> None:
