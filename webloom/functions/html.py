@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 HEAD_ONLY = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
 HIDDEN = {"script", "style", "noscript"}
 SPA_ROOTS = {"root", "__next", "app", "__nuxt"}
-NO_LINK = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
+NO_LINK = ("javascript:", "mailto:", "tel:", "data:", "blob:")
+FLOW_IN_HEAD = {"div", "span", "p", "section", "article", "main", "footer", "header", "nav"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 SCHEMA = """url_id long, url string, title string, title_count int, meta_description string, meta_description_count int,
@@ -30,7 +31,8 @@ jsonld_malformed boolean, links array<struct<url:string,text:string,rel:string,t
 alt_missing int, alt_empty int, alt_too_long int, images_without_size int, has_favicon boolean, script_count int,
 has_spa_root boolean, text string, word_count int, content_hash string, js_suspect boolean, title_outside_head boolean,
 description_outside_head boolean, robots_outside_head boolean, hreflang_outside_head boolean,
-insecure_forms array<string>, protocol_relative_count int, n_bytes long"""
+insecure_forms array<string>, protocol_relative_count int, h1_alt_only array<string>, invalid_in_head array<string>,
+head_count int, body_count int, n_bytes long"""
 
 
 class _Page(HTMLParser):
@@ -39,7 +41,7 @@ class _Page(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url, self.in_body, self.hidden = url, False, 0
-        self.seen: dict = {"title_count": 0, "meta_description_count": 0, "canonical_count": 0, "jsonld_count": 0, "image_count": 0, "alt_missing": 0, "alt_empty": 0, "alt_too_long": 0, "images_without_size": 0, "script_count": 0, "protocol_relative_count": 0}
+        self.seen: dict = {"title_count": 0, "meta_description_count": 0, "canonical_count": 0, "jsonld_count": 0, "image_count": 0, "alt_missing": 0, "alt_empty": 0, "alt_too_long": 0, "images_without_size": 0, "script_count": 0, "protocol_relative_count": 0, "head_count": 0, "body_count": 0}
         self.flags = dict.fromkeys(("canonical_outside_head", "jsonld_malformed", "has_favicon", "has_spa_root", "title_outside_head", "description_outside_head", "robots_outside_head", "hreflang_outside_head"), False)
         self.first: dict = {}
         self.og: dict = {}
@@ -50,6 +52,10 @@ class _Page(HTMLParser):
         self.forms: list = []
         self.types: list = []
         self.text: list = []
+        self.alt_only: list = []
+        self.in_head: list = []  # flow elements met between head's tags
+        self.head_open = False
+        self.alt: str | None = None  # last alternative text inside the h1 that is open
         self.open: list = []  # (element, attributes, pieces of text) whose text is gathered
 
     def _relative(self, value: str) -> None:
@@ -61,6 +67,11 @@ class _Page(HTMLParser):
             a.setdefault(k, v or "")  # of repeated attributes the first holds
         if tag == "body" or tag not in HEAD_ONLY:
             self.in_body = True
+        if tag in ("head", "body"):
+            self.seen[f"{tag}_count"] += 1
+            self.head_open = tag == "head"
+        elif self.head_open and tag in FLOW_IN_HEAD and tag not in self.in_head:
+            self.in_head.append(tag)
         if tag in HIDDEN:
             self.hidden += 1
         if a.get("id") in SPA_ROOTS:
@@ -120,6 +131,8 @@ class _Page(HTMLParser):
                 self.hreflangs.append({"lang": a["hreflang"], "url": self._resolved(href)})
 
     def _image(self, a):
+        if a.get("alt") and any(tag == "h1" for tag, _, _ in self.open):
+            self.alt = a["alt"]
         if not a.get("src", "").strip():
             return
         self._relative(a["src"])
@@ -144,7 +157,7 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "head":
-            self.in_body = True
+            self.in_body, self.head_open = True, False
         if tag in HIDDEN and self.hidden:
             self.hidden -= 1
         self._close(tag)
@@ -154,10 +167,14 @@ class _Page(HTMLParser):
             self.first.setdefault("title", text.strip())
         elif tag in HEADINGS:
             self.headings.append((int(tag[1]), text.strip()))
+            if tag == "h1":
+                if not text.strip() and self.alt:
+                    self.alt_only.append(self.alt)
+                self.alt = None
         elif tag == "a":
             href = a.get("href", "").strip()
             self._relative(href)
-            if href and not href.lower().startswith(NO_LINK):
+            if href and href != "#" and not href.lower().startswith(NO_LINK):
                 self.links.append({"url": self._resolved(href), "text": text.strip(), "rel": a.get("rel", "").lower(), "target": a.get("target", "").lower()})
         elif tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
             self.seen["jsonld_count"] += 1
@@ -198,7 +215,7 @@ class _Page(HTMLParser):
         out |= self.seen | self.flags
         out |= {"canonical_resolved": self._resolved(out["canonical_raw"]) if out["canonical_raw"] else "", "hreflangs": self.hreflangs, "first_heading_level": first, "og": self.og, "twitter": self.twitter}
         out |= {f"h{k}": [t for level, t in self.headings if level == k and t] for k in (1, 2)}
-        out |= {"jsonld_types": self.types, "links": self.links, "text": text, "word_count": words, "insecure_forms": self.forms}
+        out |= {"jsonld_types": self.types, "links": self.links, "text": text, "word_count": words, "insecure_forms": self.forms, "h1_alt_only": self.alt_only, "invalid_in_head": self.in_head}
         out |= {"content_hash": hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), "js_suspect": self.flags["has_spa_root"] or (words < 50 and self.seen["script_count"] >= 5)}
         return out
 

@@ -46,13 +46,72 @@ def query_params(url: str | Column) -> Column:
     return F.filter(F.transform(F.split(query, "&"), lambda p: F.split(p, "=")[0]), lambda p: p != "")
 
 
-IGNORED_PARAMS = ("utm_", "fbclid", "gclid", "gbraid", "wbraid", "msclkid", "mc_cid", "mc_eid")
+# Query parameters that the frontier ignores; a star stands for any ending.
+IGNORED_PARAMS = ("utm_*", "fbclid", "gclid", "gbraid", "wbraid", "msclkid", "mc_cid", "mc_eid")
+# Schemes that are no pages.
+DROPPED_SCHEMES = ("mailto", "tel", "javascript", "data", "blob")
 
 
-def frontier_key(url: str | Column) -> Column:
-    """The URL without fragment and without tracking parameters; the other parameters keep their order."""
+def frontier_key(url: str | Column, ignored: tuple[str, ...] = IGNORED_PARAMS) -> Column:
+    """The URL without fragment and without ignored parameters; the other parameters keep their order."""
     plain = F.regexp_replace(_col(url), "#.*$", "")
     base, query = F.regexp_replace(plain, "\\?.*$", ""), F.regexp_extract(plain, "\\?(.*)$", 1)
-    ignored = "^(utm_[^=]*|" + "|".join(p for p in IGNORED_PARAMS if p != "utm_") + ")(=|$)"
-    rest = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(ignored) & (p != "")), "&")
+    names = "^(" + "|".join(p.replace("*", "[^=]*") for p in ignored) + ")(=|$)"
+    rest = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(names) & (p != "")), "&")
     return F.when(rest == "", base).otherwise(F.concat(base, F.lit("?"), rest))
+
+
+def decoded_path(url: str | Column) -> Column:
+    """The path with percent codes decoded (as it stands, where they are no UTF-8)."""
+    path = _path(url)
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
+def _escapes(text: Column, unreserved: bool) -> Column:
+    """Percent codes in upper case; with ``unreserved``, those of letters, digits and -._~ decoded."""
+    parts = F.regexp_extract_all(text, F.lit("%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+
+    def one(p):
+        code = F.upper(p)
+        if not unreserved:
+            return F.when(p.rlike("^%[0-9A-Fa-f]{2}$"), code).otherwise(p)
+        char = F.decode(F.unhex(F.substring(code, 2, 2)), "ISO-8859-1")
+        return F.when(~p.rlike("^%[0-9A-Fa-f]{2}$"), p).when(char.rlike("^[A-Za-z0-9._~-]$"), char).otherwise(code)
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def normalize(url: str | Column) -> Column:
+    """Scheme and host in lower case, no default port, path of / at least, percent codes unified, no fragment; null if it is no http(s) URL."""
+    u = F.regexp_replace(F.trim(_col(url)), "[\\x00-\\x1F\\x7F]", "")
+    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    authority = F.regexp_replace(F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1), "^[^@]*@", "")
+    name = F.lower(F.regexp_extract(authority, "^(\\[[^\\]]*\\]|[^:]*)", 1))
+    port = F.regexp_extract(authority, ":([0-9]+)$", 1)
+    kept = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+    path, query = _path(u), F.regexp_extract(u, "^[^?#]*\\?([^#]*)", 1)
+    whole = F.concat(scheme, F.lit("://"), name, kept, F.when(path == "", "/").otherwise(_escapes(path, True)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), _escapes(query, False))))
+    return F.when(scheme.isin("http", "https") & (name != ""), whole)
+
+
+def identity(url: str | Column) -> Column:
+    """Key under which variants of one page meet: normalised, no www. label, no slash at the path's end."""
+    n = F.regexp_replace(normalize(url), "^(https?://)www\\.", "$1")
+    return F.regexp_replace(n, "^(https?://[^/?]+/[^?]*[^/?])/+(?=$|\\?)", "$1")
+
+
+def dropped_scheme(url: str | Column) -> Column:
+    """Whether a link leads to no page by its scheme."""
+    return F.lower(F.regexp_extract(F.trim(_col(url)), "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*DROPPED_SCHEMES)
+
+
+def first_segment(url: str | Column) -> Column:
+    """First non-empty segment of the path; empty if there is none."""
+    return F.coalesce(F.get(F.filter(F.split(_path(url), "/"), lambda p: p != ""), F.lit(0)), F.lit(""))
+
+
+def glob_match(path: Column, pattern: str) -> Column:
+    """Whether a path fits a glob: * is any run without a slash, ? one character but a slash, [..] a class."""
+    parts = {"*": "[^/]*", "?": "[^/]"}
+    body = "".join(parts.get(c, c if c in "[]-" else "\\" + c if not c.isalnum() else c) for c in pattern)
+    return path.rlike(f"^{body}$")
