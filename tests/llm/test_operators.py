@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.llm import brown, jaccard, mixing, nbsvm, pieces, quality_rules, repeats, secrets, sharding, topk
 
@@ -233,6 +234,98 @@ def test_lm_scores(docs, none):
     assert brown.lm_scores(none, none).count() == 0
 
 
+def _direct_lm(train: list[list[str]], core_size: int) -> tuple:
+    """Classes and a scoring function, by dictionaries: core words by exchange(), others by their contexts, then plain counts."""
+    count = Counter(w for t in train for w in t)
+    h = {w: int(brown.Words([w.encode()]).h[0]) if w else int(brown.END) for w in count}
+    cut, share, upto = -1, 1.0, 0
+    for c, n in sorted(Counter(count.values()).items(), reverse=True):
+        if upto + n > core_size:
+            cut, share = c, (core_size - upto) / n
+            break
+        upto += n
+    core = [w for w in count if count[w] > cut or (count[w] == cut and h[w] < share * 2.0**64) or w == ""]
+    core.sort(key=lambda w: (-count[w], h[w] - (1 << 64) * (h[w] >> 63)))
+    at = {w: i for i, w in enumerate(core)}
+    pairs = np.zeros((len(core) + 1,) * 2)
+    for t in train:
+        for a, b in zip(["", *t], t):
+            pairs[at.get(a, len(core)), at.get(b, len(core))] += 1
+    cls = brown.exchange(pairs, min(brown.CLASSES, len(core)))
+    k = int(cls[-1])
+    known = {w: int(cls[i]) for w, i in at.items()}
+    joint = Counter()
+    for (i, j), n in np.ndenumerate(pairs):
+        joint[cls[i], cls[j]] += n
+    cell = lambda a, b: joint[a, b] + 0.5
+    row = [sum(cell(a, b) for b in range(k + 1)) for a in range(k + 1)]
+    col = [sum(cell(a, b) for a in range(k + 1)) for b in range(k + 1)]
+    info = lambda a, b: np.log(cell(a, b) * sum(row) / row[a] / col[b])
+    gain = {w: np.zeros(k) for w in count if w not in at}
+    for t in train:
+        for a, w, b in zip(["", *t], t, [*t[1:], t[0]]):
+            if w in gain:
+                gain[w] += [info(known.get(a, k), c) + info(c, known.get(b, k)) for c in range(k)]
+    classes = known | {w: int(np.argmax(np.round(g, 9))) for w, g in gain.items()}
+    step, before, inside, size = Counter(), Counter(), Counter(), Counter()
+    for t in train:
+        for a, b in zip(["", *t], t):
+            step[classes[a], classes[b]] += 1
+            before[classes[a]] += 1
+            inside[classes[b]] += 1
+    for w in count:
+        size[classes[w]] += 1
+
+    def score(t):
+        total = 0.0
+        for a, b in zip(["", *t], t):
+            a, b_class = classes.get(a, k), classes.get(b, k)
+            if a == k:
+                total += np.log10((inside[b_class] + 0.5) / (sum(inside.values()) + 0.5 * (k + 1)))
+            else:
+                total += np.log10((step[a, b_class] + 0.5) / (before[a] + 0.5 * (k + 1)))
+            total += np.log10((count[b] + 0.5) / (inside[b_class] + 0.5 * size[b_class])) if b in count else 0.0
+        return total
+
+    return classes, score
+
+
+@pytest.mark.parametrize("core,frequent", [(2047, 1 << 17), (25, 60), (25, 1 << 17)])
+def test_class_scores_by_hand(docs, core, frequent, monkeypatch):
+    """Core words only; most words put into classes by context and looked up in buckets; all of them broadcast."""
+    monkeypatch.setattr(brown, "CORE", core)
+    monkeypatch.setattr(brown, "FREQUENT", frequent)
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    tokens = {i: [*WORD.findall(t.translate(lower)), ""] for i, t in TEXTS.items()}
+    classes, score = _direct_lm([t for i, t in tokens.items() if i % 3], core)
+    assert len(set(classes.values())) > 10
+    got = {r.doc_id: r.score for r in brown.lm_scores(docs, docs.where("doc_id % 3 != 0")).collect()}
+    assert got == {i: pytest.approx(score(t)) for i, t in tokens.items()}
+
+
+def test_lm_rows_and_unseen(spark, docs, none):
+    """Null and repeated ids are rows of their own; without training every word is unknown; clashing names are ignored."""
+    twice = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("x").alias("bucket"), F.lit(1).alias("classes"))
+    twice = twice.unionByName(docs.select(F.lit(7).cast("long").alias("doc_id"), "text", F.lit("x").alias("bucket"), F.lit(1).alias("classes")))
+    rows = brown.lm_scores(twice, docs).collect()
+    want = sorted(round(r.score, 6) for r in brown.lm_scores(docs, docs).collect())
+    for own in (None, 7):
+        assert sorted(round(r.score, 6) for r in rows if r.doc_id == own) == want
+    assert all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in brown.lm_scores(docs, none).collect())
+
+
+def test_exchange_raises_the_likelihood():
+    pairs = np.random.default_rng(2).poisson(0.4, (41, 41)).astype(float)
+
+    def likelihood(cls):
+        member = np.eye(int(cls[-1]) + 1)[cls]
+        joint, xlogx = member.T @ pairs @ member, lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return xlogx(joint) - xlogx(joint.sum(axis=0)) - xlogx(joint.sum(axis=1))
+
+    found = [likelihood(brown.exchange(pairs, 6, passes=n)) for n in range(6)]
+    assert all(b >= a - 1e-6 for a, b in zip(found, found[1:])) and found[-1] > found[0] + 1
+
+
 def test_topk(spark):
     rnd = random.Random(5)
     vectors = [(i, [rnd.randint(-50, 50) for _ in range(20)] if i % 7 else [3] * 20, "x") for i in range(90)]

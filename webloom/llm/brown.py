@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, chunks, mix, stash
+from .common import U64, Words, as_bytes, chunks, drop_stash, mix, stash
 
-#: Words whose exact counts every task holds (others are joined), words that are clustered, classes, exchange passes.
-FREQUENT, CLUSTERED, CLASSES, PASSES = 1 << 17, 2047, 32, 4
-#: log2 of the buckets of the vocabulary and of the documents.
-BUCKET_BITS = 8
+#: Words whose counts and classes every task holds (others are joined), words that form the classes, classes, exchange passes.
+FREQUENT, CORE, CLASSES, PASSES = 1 << 17, 2047, 32, 4
+#: Bytes of input to a bucket, and the least and greatest log2 of the number of buckets.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 64 << 20, 8, 16
+#: Marks a token whose class is looked up in the buckets.
+RARE = 255
 END = mix(np.array([0xE0D], U64))[0]
 _EXACT = 4096
 
@@ -22,9 +25,15 @@ def _bin(c: np.ndarray) -> np.ndarray:
     return np.where(c < _EXACT, c, _EXACT + np.floor(64 * np.log(np.maximum(c, _EXACT) / _EXACT))).astype(np.int64)
 
 
-def _dealt(key: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch | None:
+def _bits(df: DataFrame) -> int:
+    """log2 of the number of buckets for a table, by the size that the optimizer expects (the least where it knows none)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return LEAST_BITS if size >= 1 << 62 else min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+
+
+def _dealt(key: np.ndarray, columns: list[np.ndarray], names: list[str], bits: int) -> pa.RecordBatch:
     """One row a bucket (the key's top bits), holding the columns' values as bytes."""
-    bucket = (key >> U64(64 - BUCKET_BITS)).astype(np.int64)
+    bucket = (key >> U64(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, int)
@@ -42,17 +51,20 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(inverse, weights=c, minlength=len(keys)).astype(np.int64)
 
 
-def _vocabulary(batches):
-    h, c = np.zeros(0, U64), np.zeros(0, np.int64)
-    for part in chunks(batches):
-        words = Words(as_bytes(part.column(1)))
-        keys, counts = np.unique(words.h, return_counts=True)
-        h, c = _summed(np.concatenate((h, keys, [END])), np.concatenate((c, counts, [part.num_rows])))
-        if len(h) > 2_000_000:
-            yield _dealt(h, [h, c], ["hashes", "counts"])
-            h, c = h[:0], c[:0]
-    if len(h):
-        yield _dealt(h, [h, c], ["hashes", "counts"])
+def _vocabulary(bits: int):
+    def run(batches):
+        h, c = np.zeros(0, U64), np.zeros(0, np.int64)
+        for part in chunks(batches):
+            words = Words(as_bytes(part.column(1)))
+            keys, counts = np.unique(words.h, return_counts=True)
+            h, c = _summed(np.concatenate((h, keys, [END])), np.concatenate((c, counts, [part.num_rows])))
+            if len(h) > 2_000_000:
+                yield _dealt(h, [h, c], ["hashes", "counts"], bits)
+                h, c = h[:0], c[:0]
+        if len(h):
+            yield _dealt(h, [h, c], ["hashes", "counts"], bits)
+
+    return run
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -67,20 +79,22 @@ def _counts_of_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
 
 
-def _sequence(words: Words, n: int, lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, token, text): lookup() of every token, ends included, and of the one before it (an end before the first)."""
-    at = np.cumsum(words.count) + np.arange(n)  # the ends' places
+def _sequence(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, end) of every token, ends included; the last gives the place of each text's end."""
+    at = np.cumsum(words.count) + np.arange(n)
     h = np.empty(len(words.h) + n, U64)
     is_end = np.zeros(len(h), bool)
     is_end[at] = True
     h[is_end], h[~is_end] = END, words.h
-    doc = np.repeat(np.arange(n), words.count + 1)
-    token = lookup(h)
-    previous = np.empty_like(token)
-    previous[1:] = token[:-1]
-    if n:
-        previous[0] = token[at[0]]  # the first text too follows an end
-    return previous, token, doc
+    return h, np.repeat(np.arange(n), words.count + 1), at
+
+
+def _around(token: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and after every token; a text's first token follows an end, its end precedes its first token."""
+    first = np.concatenate(([0], at[:-1] + 1)).astype(np.int64)[: len(at)]
+    before, after = np.roll(token, 1), np.roll(token, -1)
+    before[first], after[at] = end, token[first]
+    return before, after
 
 
 def _finder(keys: np.ndarray):
@@ -94,16 +108,18 @@ def _finder(keys: np.ndarray):
     return find
 
 
-def _pairs(keys: np.ndarray):
+def _pairs(keys: np.ndarray, bits: int):
     def run(batches):
         find, side = _finder(keys), len(keys) + 1
         total = np.zeros(side * side, np.int64)
+        end = int(find(np.array([END]))[0])
         for part in chunks(batches):
-            previous, token, _ = _sequence(Words(as_bytes(part.column(1))), part.num_rows, find)
-            total += np.bincount(previous * side + token, minlength=len(total))
+            h, _, at = _sequence(Words(as_bytes(part.column(1))), part.num_rows)
+            token = find(h)
+            total += np.bincount(_around(token, at, end)[0] * side + token, minlength=len(total))
         at = np.flatnonzero(total)
         if len(at):
-            yield _dealt(at.astype(U64) * U64((1 << 64) // len(total)), [at, total[at]], ["cells", "counts"])
+            yield _dealt(at.astype(U64) * U64((1 << 64) // len(total)), [at, total[at]], ["cells", "counts"], bits)
 
     return run
 
@@ -163,144 +179,318 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return cls
 
 
-class Model:
-    """What a task needs to score texts but for the counts of infrequent words; its size is bounded by FREQUENT and CLUSTERED."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, n_clustered: int, tokens: int, types: int):
-        self.keys, self.counts, self.n_clustered = keys, counts, n_clustered
-        self.floor = np.log10(tokens + 0.5 * (types + 1))
-        cls = exchange(pairs.astype(float), min(CLASSES, max(1, n_clustered)))
-        n_classes = int(cls[-1]) + 1
-        member = np.zeros((len(cls), n_classes))
-        member[np.arange(len(cls)), cls] = 1
-        joint = member.T @ pairs @ member
-        self.cls = cls
-        self.transition = np.log10(joint + 0.5) - np.log10(joint.sum(axis=1, keepdims=True) + 0.5 * n_classes)
-        top = counts[:n_clustered]
-        in_class = np.bincount(cls[:-1], weights=top, minlength=n_classes)
-        size = np.bincount(cls[:-1], minlength=n_classes)
-        in_class[-1], size[-1] = tokens - top.sum(), types - n_clustered + 1  # the class of the rest, and a place for unknown words
-        self.emission_floor = np.log10(np.maximum(in_class + 0.5 * size, 0.5))  # a class may have lost all its words
-
-    def score(self, texts: list[bytes]):
-        """Per text: tokens, known, base and score but for the infrequent words, and those words (hash, text)."""
-        words, n = Words(texts), len(texts)
-        previous, token, doc = _sequence(words, n, _finder(self.keys))
-        frequent = token < len(self.keys)
-        log_count = np.where(frequent, np.log10(np.append(self.counts, 0)[token] + 0.5), 0.0)
-        clipped = np.minimum(token, self.n_clustered)
-        c, before = self.cls[clipped], self.cls[np.minimum(previous, self.n_clustered)]
-        per_text = lambda x: np.bincount(doc, weights=x, minlength=n)
-        tokens = words.count + 1
-        base = per_text(log_count) - tokens * self.floor
-        score = per_text(log_count + self.transition[before, c] - self.emission_floor[c])
-        rare = ~frequent
-        is_word = np.ones(len(token), bool)
-        is_word[np.cumsum(words.count) + np.arange(n)] = False
-        return tokens, per_text(frequent).astype(np.int64), base, score, words.h[rare[is_word]], doc[rare & is_word]
-
-
-_KINDS = "doc_id long, n_tokens long, n_known long, base_score double, score double, bucket int, hashes binary, docs binary"
-
-
-def _scored(model):
+def _counted(h: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of count by (h, code), sorted."""
+    order = np.lexsort((code, h))
+    h, code, count = h[order], code[order], count[order]
+    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])))) if len(h) else np.zeros(0, int)
+    return h[new], code[new], np.add.reduceat(count, new) if len(new) else count
+
+
+def _contexts(keys: np.ndarray, cls: np.ndarray, bits: int):
+    """Of every word but the core ones, how often it stands between which two classes, dealt by word."""
+
+    def run(batches):
+        find, side = _finder(keys), int(cls[-1]) + 1
+        end = int(cls[find(np.array([END]))[0]])
+        held, n = [], 0
+
+        def flush():
+            h, code, count = _counted(*(np.concatenate(x) for x in zip(*held)))
+            return _dealt(h, [h, code, count.astype("<u4")], ["hashes", "codes", "counts"], bits)
+
+        for part in chunks(batches):
+            h, _, at = _sequence(Words(as_bytes(part.column(1))), part.num_rows)
+            token = find(h)
+            before, after = _around(cls[token], at, end)
+            own = token == len(keys)
+            held.append(_counted(h[own], (before * side + after)[own].astype("<u2"), np.ones(int(own.sum()), "<u4")))
+            n += len(held[-1][0])
+            if n > 2_000_000:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def information(joint: np.ndarray) -> np.ndarray:
+    """Pointwise mutual information of adjacent classes, from their counts with half a one added to each."""
+    joint = joint + 0.5
+    return np.log(joint * joint.sum()) - np.log(joint.sum(axis=1, keepdims=True)) - np.log(joint.sum(axis=0, keepdims=True))
+
+
+def nearest(left: np.ndarray, right: np.ndarray, info: np.ndarray) -> np.ndarray:
+    """For each word the class in which its contexts have the most mutual information with it; the first of equals.
+
+    ``left`` and ``right`` count the classes before and after each word. This is the exchange
+    criterion to first order, for a word that changes the counts of classes little.
+    """
+    k = len(info) - 1
+    return np.argmax(np.round(left @ info[:, :k] + right @ info[:k].T, 9), axis=1)  # rounded, as sums taken in another order are equal
+
+
+def _assigned(keys: np.ndarray, cls: np.ndarray, info: np.ndarray):
+    """Puts every word of a bucket into a class: core words into their own, others into the nearest by context."""
+
+    def run(vocabulary: pa.Table, contexts: pa.Table) -> pa.Table:
+        if not vocabulary.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("hashes", "counts", "classes")}})
+        side = len(info)
+        words = _gathered(vocabulary, "hashes", "<u8")  # sorted
+        found = np.append(cls[:-1], 0)[_finder(keys)(words)]
+        h, code, count = _counted(*(_gathered(contexts, n, k) for n, k in (("hashes", "<u8"), ("codes", "<u2"), ("counts", "<u4"))))
+        own = np.unique(h)
+        at = np.searchsorted(own, h)
+        chosen = np.zeros(len(own), np.int64)
+        for a in range(0, len(own), 1 << 15):  # dense counts of so many words at a time
+            m = min(1 << 15, len(own) - a)
+            lo, hi = np.searchsorted(at, (a, a + m))
+            row = (at[lo:hi] - a) * side
+            table = lambda context: np.bincount(row + context, weights=count[lo:hi], minlength=m * side).reshape(m, side)  # noqa: B023, E731
+            chosen[a : a + m] = nearest(table(code[lo:hi] // side), table(code[lo:hi] % side), info)
+        found[np.searchsorted(words, own)] = chosen
+        return pa.table({"bucket": vocabulary["bucket"][:1], "hashes": [words.tobytes()], "counts": vocabulary["counts"][:1].cast(pa.binary()), "classes": [found.astype("u1").tobytes()]})
+
+    return run
+
+
+def _totals(batches):
+    for batch in batches:
+        for counts, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts, classes = np.frombuffer(counts, "<i8"), np.frombuffer(classes, "u1")
+            found, inverse = np.unique(classes, return_inverse=True)
+            tokens = np.zeros(len(found), np.int64)
+            np.add.at(tokens, inverse, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(tokens), pa.array(np.bincount(inverse, minlength=len(found)))], names=["cls", "tokens", "types"])
+
+
+def _top(vocabulary: DataFrame, limit: int) -> tuple[np.ndarray, ...]:
+    """About ``limit`` words of the greatest counts, and the end: hashes, counts, and classes if there are any.
+
+    Of the words of the least count taken, those whose hashes are under a threshold are taken, so
+    that a vocabulary in which one count is very common is bounded too.
+    """
+    counts = vocabulary.select("counts").mapInArrow(_counts_of_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    cut, share, upto = -1, 1.0, 0
+    for row in sorted(counts.collect(), reverse=True):  # a few thousand bins, whatever the input
+        if upto + row.n > limit:
+            cut, share = row.bin, (limit - upto) / row.n
+            break
+        upto += row.n
+    below = U64(min(int(share * 2.0**64), (1 << 64) - 1))
+    names = [n for n in ("hashes", "counts", "classes") if n in vocabulary.columns]
+    kinds = {"hashes": "<u8", "counts": "<i8", "classes": "u1"}
+
+    def picked(batches):
+        for batch in batches:
+            for values in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                values = [np.frombuffer(x, kinds[n]) for n, x in zip(names, values)]
+                bins = _bin(values[1])
+                pick = (bins > cut) | ((bins == cut) & (values[0] < below)) | (values[0] == END)
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick].view("<i8") if i == 0 else x[pick].astype("<i8")) for i, x in enumerate(values)], names=names)
+
+    table = vocabulary.select(*names).mapInArrow(picked, ", ".join(f"{n} long" for n in names)).toPandas()
+    table = table.sort_values(["counts", "hashes"], ascending=[False, True])
+    found = [table[n].to_numpy(np.int64) for n in names]
+    return (found[0].view(U64), *found[1:])
+
+
+_KINDS = "doc_id long, doc_key long, n_tokens long, n_known long, logs double, classes binary, bucket int, hashes binary, docs binary, places binary"
+
+
+def _classed(table, bits: int):
+    """Per text its tokens' classes, a byte each, and what its frequent words give; and the places of the infrequent ones, dealt by word."""
+
     def run(batches):
-        own, names = model.value, [x.split()[0] for x in _KINDS.split(", ")]
+        keys, counts, cls = table.value
+        find, logs = _finder(keys), np.append(np.log10(counts + 0.5), 0.0)
+        cls, names = np.append(cls, RARE).astype("u1"), [x.split()[0] for x in _KINDS.split(", ")]
+        # keys are written with the rows by one attempt of a task, so all rows of a text agree on its key
+        key = TaskContext.get().partitionId() << 40
         for part in chunks(batches):
-            tokens, known, base, score, h, doc = own.score(as_bytes(part.column(1)))
-            none = [pa.nulls(part.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), *none], names=names)
-            if len(h):
-                rare = _dealt(h, [h, part.column(0).to_numpy(zero_copy_only=False)[doc].astype("<i8")], ["hashes", "docs"])
-                none = [pa.nulls(rare.num_rows, t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 2]
-                yield pa.RecordBatch.from_arrays([*none, *rare.columns], names=names)
+            n = part.num_rows
+            h, doc, at = _sequence(Words(as_bytes(part.column(1))), n)
+            token = find(h)
+            own = np.arange(key, key + n)
+            key += n
+            frequent = token < len(keys)
+            per_text = lambda x: np.bincount(doc, weights=x, minlength=n)  # noqa: B023, E731
+            offsets = np.concatenate(([0], at + 1)).astype("<i4")
+            classes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(cls[token]))])
+            none = [pa.nulls(n, t) for t in (pa.int32(), *(pa.binary(),) * 3)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(own), pa.array(np.diff(offsets).astype(np.int64)), pa.array(per_text(frequent).astype(np.int64)), pa.array(per_text(logs[token])), classes, *none], names=names
+            )
+            rare = np.flatnonzero(~frequent)
+            if len(rare):
+                dealt = _dealt(h[rare], [h[rare], own[doc[rare]], (rare - offsets[doc[rare]]).astype("<i4")], ["hashes", "docs", "places"], bits)
+                none = [pa.nulls(dealt.num_rows, t) for t in (*(pa.int64(),) * 4, pa.float64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, *dealt.columns], names=names)
+
+    return run
+
+
+def _looked_up(unknown: int, bits: int):
+    """Classes and log10(count + 0.5) of a bucket's infrequent words, dealt by document; unknown words have a class of their own."""
+
+    def run(tokens: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        names = ["docs", "places", "classes", "logs"]
+        if not tokens.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in names}})
+        at = _finder(_gathered(vocabulary, "hashes", "<u8"))(_gathered(tokens, "hashes", "<u8"))
+        counts, classes = np.append(_gathered(vocabulary, "counts", "<i8"), 0), np.append(_gathered(vocabulary, "classes", "u1"), unknown).astype("u1")
+        docs = _gathered(tokens, "docs", "<i8")
+        columns = [docs, _gathered(tokens, "places", "<i4"), classes[at], np.log10(counts[at] + 0.5)]
+        return pa.Table.from_batches([_dealt(mix(docs.view(U64)), columns, names, bits)])
+
+    return run
+
+
+def _by_document(unknown: int):
+    def run(table: pa.Table) -> pa.Table:
+        docs, places, classes, logs = (_gathered(table, n, k) for n, k in (("docs", "<i8"), ("places", "<i4"), ("classes", "u1"), ("logs", "<f8")))
+        order = np.lexsort((places, docs))
+        docs, places, classes, logs = docs[order], places[order], classes[order], logs[order]
+        own, first = np.unique(docs, return_index=True)
+        edges = np.append(first, len(docs))
+        cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.table({"doc": own, "rare_places": cut(places), "rare_classes": cut(classes), "rare_log": np.add.reduceat(logs, first), "rare_known": np.add.reduceat((classes != unknown).astype(np.int64), first)})
+
+    return run
+
+
+def classes_of(df: DataFrame, table, vocabulary: DataFrame, unknown: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_tokens, n_known, logs, classes, rare_places, rare_classes) of texts, and the stashed table behind it.
+
+    ``classes`` has a byte for each token; those of infrequent words, looked up in the vocabulary's
+    buckets, are in the last two columns, to be set at their places. No row takes part in another's.
+    """
+    written = stash(df.mapInArrow(_classed(table, bits), _KINDS), "lm-classed")
+    rare = written.where("bucket is not null").select("bucket", "hashes", "docs", "places")
+    found = rare.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(_looked_up(unknown, bits), "bucket int, docs binary, places binary, classes binary, logs binary")
+    found = found.groupBy("bucket").applyInArrow(_by_document(unknown), "doc long, rare_places binary, rare_classes binary, rare_log double, rare_known long")
+    rows = written.where("bucket is null")
+    zero = F.lit(0)
+    return rows.join(found, rows["doc_key"] == found["doc"], "left").select(
+        "doc_id",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("rare_known", zero)).alias("n_known"),
+        (F.col("logs") + F.coalesce("rare_log", zero)).alias("logs"),
+        "classes",
+        "rare_places",
+        "rare_classes",
+    ), written
+
+
+def _filled(part: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, text) of every token of rows from classes_of."""
+    classes = part.column(4).to_pylist()
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, classes), np.int64, len(classes)))))
+    token = np.frombuffer(b"".join(classes), "u1").astype(np.int64)
+    for start, places, found in zip(offsets, part.column(5).to_pylist(), part.column(6).to_pylist()):
+        if places:
+            token[start + np.frombuffer(places, "<i4")] = np.frombuffer(found, "u1")
+    before, _ = _around(token, offsets[1:] - 1, end)
+    return before, token, np.repeat(np.arange(len(classes)), np.diff(offsets))
+
+
+def _transitions(side: int, end: int):
+    def run(batches):
+        total = np.zeros(side * side, np.int64)
+        for part in chunks(batches, column=4):
+            before, token, _ = _filled(part, end)
+            total += np.bincount(before * side + token, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
     return run
 
 
-def _looked_up(tokens: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """Of a bucket's infrequent words, each document's sum of log10(count + 0.5) and how many are known, dealt by document."""
-    names = ["docs", "logs", "known"]
-    empty = pa.table({"bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in names}})
-    if not tokens.num_rows:
-        return empty
-    keys, counts = _gathered(vocabulary, "hashes", "<u8"), _gathered(vocabulary, "counts", "<i8")
-    at = _finder(keys)(_gathered(tokens, "hashes", "<u8"))
-    c = np.append(counts, 0)[at]
-    docs, inverse = np.unique(_gathered(tokens, "docs", "<i8"), return_inverse=True)
-    logs = np.bincount(inverse, weights=np.log10(c + 0.5), minlength=len(docs))
-    known = np.bincount(inverse, weights=c > 0, minlength=len(docs)).astype("<i4")
-    return pa.Table.from_batches([_dealt(mix(docs.view(U64)), [docs, logs, known], names)])
+class Model:
+    """Class-transition and class-emission logarithms (base 10); the last class is that of unknown words."""
+
+    def __init__(self, joint: np.ndarray, tokens: np.ndarray, types: np.ndarray):
+        k = len(joint)
+        self.transition = np.log10(joint + 0.5) - np.log10(joint.sum(axis=1, keepdims=True) + 0.5 * k)
+        self.transition[-1] = np.log10(joint.sum(axis=0) + 0.5) - np.log10(joint.sum() + 0.5 * k)  # nothing was seen after an unknown word
+        self.floor = np.log10(np.maximum(tokens + 0.5 * types, 0.5))  # a class may have no words
 
 
-def _by_document(table: pa.Table) -> pa.Table:
-    docs, inverse = np.unique(_gathered(table, "docs", "<i8"), return_inverse=True)
-    logs = np.bincount(inverse, weights=_gathered(table, "logs", "<f8"), minlength=len(docs))
-    known = np.bincount(inverse, weights=_gathered(table, "known", "<i4"), minlength=len(docs))
-    return pa.table({"doc": docs, "rare_log": logs, "rare_known": known.astype(np.int64)})
+def _scores(model: Model, end: int, base_floor: float):
+    def run(batches):
+        for part in chunks(batches, column=4):
+            before, token, doc = _filled(part, end)
+            logs, n = part.column(3).to_numpy(), part.column(1).to_numpy()
+            own = np.bincount(doc, weights=model.transition[before, token] - model.floor[token], minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(logs - n * base_floor), pa.array(logs + own)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text by a class-based bigram model and by a unigram model, both learnt from ``training``.
 
-    Counts of all words are summed over all training rows, in buckets by hash. The CLUSTERED most
-    frequent are put into CLASSES classes by exchange clustering on the counts of all adjacent
-    pairs; every other word, known or not, belongs to one further class. The probability of a token
-    is that of its class after the class before, times that of the word in its class, each with half
-    a count added. Tasks hold the counts of at most FREQUENT words; the others' are joined, bucket
-    by bucket, so no vocabulary of unbounded size is broadcast.
+    Every training word gets one of CLASSES classes. The CORE most frequent form them, by exchange
+    clustering on the counts of all their adjacent pairs. Each other word, however rare, is put into
+    the class in which the classes before and after all its occurrences have the most mutual
+    information with it (the exchange criterion to first order); those contexts are gathered by word
+    in buckets, so their number grows with the input. Transitions are then counted between the
+    classes of all training tokens. The probability of a token is that of its class after the class
+    before, times that of the word in its class, each with half a count added; words not seen in
+    training are one further class, after which classes come with their overall frequencies.
+
+    Tasks hold the counts and classes of about FREQUENT words; those of the others are joined,
+    bucket by bucket, so no vocabulary of unbounded size is broadcast.
 
     Tokens are lower-cased words and one end. Null and empty texts have only the end. Words are
-    known by 64-bit hashes. Ids are taken to be unique; rows with a null id are left out. Without
+    known by 64-bit hashes. Null and repeated ids are kept, each row scored by itself. Without
     training rows every count is 0. Extra columns are ignored.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    picked = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    picked = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs, training = picked(docs), picked(training)
-    vocabulary = training.mapInArrow(_vocabulary, "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_merged, "bucket int, types long, tokens long, hashes binary, counts binary")
-    vocabulary = stash(vocabulary, "lm-vocabulary")
-    types, tokens = (x or 0 for x in vocabulary.agg(F.sum("types"), F.sum("tokens")).first())
-
-    bins = vocabulary.select("counts").mapInArrow(_counts_of_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin"))
-    least, upto = None, 0
-    for row in bins.toLocalIterator():  # a few thousand bins, whatever the input
-        upto += row.n
-        if upto > FREQUENT and least is not None:
-            break
-        least = row.bin
-    def frequent(batches):
-        for batch in batches:
-            for h, c in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                h, c = np.frombuffer(h, "<u8"), np.frombuffer(c, "<i8")
-                pick = _bin(c) >= (least or 0)
-                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view("<i8")), pa.array(c[pick])], names=["h", "c"])
-
-    table = vocabulary.select("hashes", "counts").mapInArrow(frequent, "h long, c long").toPandas()
-    table = table.sort_values(["c", "h"], ascending=[False, True])
-    keys, counts = table["h"].to_numpy(np.int64).view(U64), table["c"].to_numpy(np.int64)
-    n_clustered = min(CLUSTERED, len(keys))
-    pairs = np.zeros((n_clustered + 1) ** 2)
-    merged = training.mapInArrow(_pairs(keys[:n_clustered]), "bucket int, cells binary, counts binary").groupBy("bucket").applyInArrow(_pairs_merged, "bucket int, cells binary, counts binary")
-    for row in merged.toLocalIterator():  # at most (CLUSTERED + 1)**2 cells
+    bits = _bits(training)
+    counted = training.mapInArrow(_vocabulary(bits), "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_merged, "bucket int, types long, tokens long, hashes binary, counts binary")
+    counted = stash(counted, "lm-counts")
+    types, tokens = (x or 0 for x in counted.agg(F.sum("types"), F.sum("tokens")).first())
+
+    core, _ = _top(counted.select("hashes", "counts"), CORE)
+    pairs = np.zeros((len(core) + 1) ** 2)
+    merged = training.mapInArrow(_pairs(core, bits), "bucket int, cells binary, counts binary").groupBy("bucket").applyInArrow(_pairs_merged, "bucket int, cells binary, counts binary")
+    for row in merged.toLocalIterator():  # at most about (CORE + 1)**2 cells
         pairs[np.frombuffer(row.cells, "<i8")] = np.frombuffer(row.counts, "<i8")
-    model = spark.sparkContext.broadcast(Model(keys, counts, pairs.reshape(n_clustered + 1, -1), n_clustered, tokens, types))
-
-    scored = stash(docs.mapInArrow(_scored(model), _KINDS), "lm-scored")
-    rare = scored.where("bucket is not null").select("bucket", "hashes", "docs")
-    found = rare.groupBy("bucket").cogroup(vocabulary.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_looked_up, "bucket int, docs binary, logs binary, known binary")
-    found = found.groupBy("bucket").applyInArrow(_by_document, "doc long, rare_log double, rare_known long")
-    rows = scored.where("bucket is null")
-    zero = F.lit(0)
-    return rows.join(found, rows["doc_id"] == found["doc"], "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", zero)).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rare_log", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_log", zero)).alias("score"),
-    )
+    pairs = pairs.reshape(len(core) + 1, -1)
+    cls = exchange(pairs, min(CLASSES, max(1, len(core))))
+    k = int(cls[-1])  # classes; also the number of the class of unknown words
+    member = np.zeros((len(cls), k + 1))
+    member[np.arange(len(cls)), cls] = 1
+
+    contexts = training.mapInArrow(_contexts(core, cls, bits), "bucket int, hashes binary, codes binary, counts binary")
+    vocabulary = counted.select("bucket", "hashes", "counts").groupBy("bucket").cogroup(contexts.groupBy("bucket"))
+    vocabulary = stash(vocabulary.applyInArrow(_assigned(core, cls, information(member.T @ pairs @ member)), "bucket int, hashes binary, counts binary, classes binary"), "lm-vocabulary")
+    drop_stash(counted)
+    in_class, size = np.zeros(k + 1), np.zeros(k + 1)
+    size[k] = 1  # a place for unknown words
+    for row in vocabulary.select("counts", "classes").mapInArrow(_totals, "cls int, tokens long, types long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():
+        in_class[row.cls], size[row.cls] = row.tokens, row.types
+
+    table = _top(vocabulary, FREQUENT)
+    end = int(np.append(table[2], k)[_finder(table[0])(np.array([END]))[0]])
+    table = spark.sparkContext.broadcast(table)
+    learnt, written = classes_of(training, table, vocabulary, k, bits)
+    joint = np.zeros((k + 1) ** 2)
+    for row in learnt.mapInArrow(_transitions(k + 1, end), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # (CLASSES + 1)**2 cells
+        joint[row.cell] = row.n
+    drop_stash(written)
+    model = Model(joint.reshape(k + 1, -1), in_class, size)
+
+    scored, _ = classes_of(docs, table, vocabulary, k, bits)
+    scored = scored.mapInArrow(_scores(model, end, float(np.log10(tokens + 0.5 * (types + 1)))), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
