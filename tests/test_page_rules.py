@@ -12,7 +12,8 @@ CLEAN = f"""<!DOCTYPE html><html><head><title>A title that is just about as long
 <meta name="description" content="{'d' * 100}"><link rel="canonical" href="{URL}"><link rel="icon" href="/i.png">
 <meta property="og:title" content="t"><meta property="og:description" content="d"><meta property="og:image" content="i">
 <meta property="og:url" content="{URL}"><meta property="og:type" content="website"><meta name="twitter:card" content="summary">
-<script type="application/ld+json">{{"@type": "Article", "author": {{"@type": "Person"}}}}</script></head>
+<script type="application/ld+json">{{"@type": "Article", "author": {{"@type": "Person"}}, "headline": "h", "datePublished": "2024-01-01", "image": "i",
+"dateModified": "2024-01-02", "publisher": "p", "mainEntityOfPage": "{URL}"}}</script></head>
 <body><h1>Heading</h1><h2>Second</h2><p>{WORDS}</p><img src="/a.png" alt="a" width="1" height="1"><a href="/x">a good name</a></body></html>"""
 
 
@@ -53,6 +54,8 @@ def test_clean_page(spark):
         ('<a href="/x">', '<a target="_blank" href="https://other.org/">', "unsafe_cross_origin_links"),
         ('content="summary"', 'content="poster"', "invalid_twitter_card_type"),
         ('{"@type": "Article"', '{"@type" "Article"', "malformed_structured_data"),
+        ('"headline": "h"', '"headline": ""', "invalid_structured_data"),
+        ('"publisher": "p"', '"publisher": null', "incomplete_structured_data"),
         ("word7 ", "lorem ipsum ", "lorem_ipsum_detected"),
         ("<h1>", '<form action="http://e.com/"></form><h1>', "form_on_http"),
         ("<h2>Second</h2>", "", "missing_h2"),

@@ -15,6 +15,8 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from webloom.functions.structured import validate
+
 # Elements by what they do to text and to the head.
 HEAD_ONLY = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
 HIDDEN = {"script", "style", "noscript"}
@@ -27,7 +29,8 @@ SCHEMA = """url_id long, url string, title string, title_count int, meta_descrip
 meta_robots string, canonical_raw string, canonical_resolved string, canonical_count int, canonical_outside_head boolean,
 rel_next string, rel_prev string, hreflangs array<struct<lang:string,url:string>>, h1 array<string>, h2 array<string>,
 first_heading_level int, og map<string,string>, twitter map<string,string>, jsonld_count int, jsonld_types array<string>,
-jsonld_malformed boolean, links array<struct<url:string,text:string,rel:string,target:string>>, image_count int,
+jsonld_malformed boolean,
+structured array<struct<type:string,missing_required:array<string>,missing_recommended:array<string>,nested:boolean>>, links array<struct<url:string,text:string,rel:string,target:string>>, image_count int,
 alt_missing int, alt_empty int, alt_too_long int, images_without_size int, has_favicon boolean, script_count int,
 has_spa_root boolean, text string, word_count int, content_hash string, js_suspect boolean, title_outside_head boolean,
 description_outside_head boolean, robots_outside_head boolean, hreflang_outside_head boolean,
@@ -51,6 +54,7 @@ class _Page(HTMLParser):
         self.links: list = []
         self.forms: list = []
         self.types: list = []
+        self.blocks: list = []
         self.text: list = []
         self.alt_only: list = []
         self.in_head: list = []  # flow elements met between head's tags
@@ -178,6 +182,7 @@ class _Page(HTMLParser):
                 self.links.append({"url": self._resolved(href), "text": text.strip(), "rel": a.get("rel", "").lower(), "target": a.get("target", "").lower()})
         elif tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
             self.seen["jsonld_count"] += 1
+            self.blocks.append(text)
             try:
                 self._gather_types(json.loads(text))
             except (ValueError, RecursionError):
@@ -215,7 +220,7 @@ class _Page(HTMLParser):
         out |= self.seen | self.flags
         out |= {"canonical_resolved": self._resolved(out["canonical_raw"]) if out["canonical_raw"] else "", "hreflangs": self.hreflangs, "first_heading_level": first, "og": self.og, "twitter": self.twitter}
         out |= {f"h{k}": [t for level, t in self.headings if level == k and t] for k in (1, 2)}
-        out |= {"jsonld_types": self.types, "links": self.links, "text": text, "word_count": words, "insecure_forms": self.forms, "h1_alt_only": self.alt_only, "invalid_in_head": self.in_head}
+        out |= {"jsonld_types": self.types, "structured": validate(self.blocks), "links": self.links, "text": text, "word_count": words, "insecure_forms": self.forms, "h1_alt_only": self.alt_only, "invalid_in_head": self.in_head}
         out |= {"content_hash": hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), "js_suspect": self.flags["has_spa_root"] or (words < 50 and self.seen["script_count"] >= 5)}
         return out
 

@@ -190,13 +190,18 @@ def cluster_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.where("value != ''").groupBy("cluster_type", "value").agg(F.count(F.lit(1)).alias("member_count"), F.min("url_id").alias("first_id")).where("member_count > 1")
 
 
-def _levels(spark: SparkSession, links: DataFrame, start: DataFrame) -> DataFrame:
-    """Least number of links from any page of ``start`` (url_id) to every page that links reach, level by level."""
+def ready_to_checkpoint(spark: SparkSession) -> None:
+    """Set the folder of checkpoints where none is set; on a cluster it has to be a shared one."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="webloom-"))
+
+
+def levels(spark: SparkSession, links: DataFrame, start: DataFrame) -> DataFrame:
+    """Least number of links from any page of ``start`` (url_id) to every page that links reach, level by level."""
+    ready_to_checkpoint(spark)
     links = links.select("source_id", "target_id").distinct().checkpoint()
     seen = start.select("url_id", F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
     level = 0
@@ -213,7 +218,7 @@ def _levels(spark: SparkSession, links: DataFrame, start: DataFrame) -> DataFram
 
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least number of links from page 0 to every page that links reach; page_depths() starts from all seeds."""
-    return _levels(spark, _links(spark, sf_dir), T.urls(spark, sf_dir).where("url_id = 0"))
+    return levels(spark, _links(spark, sf_dir), T.urls(spark, sf_dir).where("url_id = 0"))
 
 
 def recomputed_depths(spark: SparkSession, pages: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -223,7 +228,7 @@ def recomputed_depths(spark: SparkSession, pages: DataFrame, links: DataFrame, s
     """
     own = pages.select("url_id")
     ends = links.join(own.withColumnRenamed("url_id", "source_id"), "source_id", "left_semi").join(own.withColumnRenamed("url_id", "target_id"), "target_id", "left_semi")
-    new = _levels(spark, ends, seeds.join(own, "url_id", "left_semi")).withColumnRenamed("depth", "new_depth")
+    new = levels(spark, ends, seeds.join(own, "url_id", "left_semi")).withColumnRenamed("depth", "new_depth")
     return pages.join(new, "url_id", "left").select("url_id", F.coalesce("new_depth", F.col("depth").cast("long")).alias("depth"))
 
 

@@ -1,0 +1 @@
+"""Streams over the fetch log."""
