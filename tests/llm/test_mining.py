@@ -30,7 +30,7 @@ def rows_of(kind):
     rows += [(300, 1, [4, 4]), (301, 2, []), (302, None, vector()), (303, 1, None), (304, 2, [1, None, 3]), (None, 1, vector()), (305, 0, [0] * 6)]
     rows += [rows[0], rows[10], (10, 1, vector()), (10, 2, vector())]  # equal rows, and ids of several rows
     if kind == "huge":
-        rows = [(i, y, v if v is None else [None if x is None else x * (1 << 29) for x in v]) for i, y, v in rows[:60]]
+        rows = [(i, y, v if v is None else [None if x is None else x * (1 << 27) for x in v]) for i, y, v in rows[:60]]
     return rows
 
 
