@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontamination, jaccard, mining, mixing, nbsvm, pieces, quality_rules, repeats, secrets, sharding, topk
+from . import brown, decontamination, jaccard, mining, mixing, nbsvm, pieces, quality_rules, repair, repeats, secrets, sharding, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_repeats": repeats.op10_repeats,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_hard_negatives": mining.op13_hard_negatives,
 }
-ORACLES = {"op6_topk": topk.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op11_decontamination": decontamination.OP11_SQL, "op13_hard_negatives": mining.OP13_SQL}
+ORACLES = {"op6_topk": topk.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op11_decontamination": decontamination.OP11_SQL, "op12_conversation_repair": repair.OP12_SQL, "op13_hard_negatives": mining.OP13_SQL}
