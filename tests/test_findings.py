@@ -61,13 +61,8 @@ def test_ignored_parameters_are_an_argument(spark):
     assert spark.range(1).select(key).first()[0] == "https://e.com/p?utm_x=1&a=2"
 
 
-def test_scope_and_globs(spark):
+def test_globs(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    host = F.lit("blog.example.org")
-    assert one(findings.in_scope(host, "registrable_domain", ["www.example.org"])) and not one(findings.in_scope(host, "exact_host", ["www.example.org"]))
-    assert one(findings.in_scope(host, "allowlist", ["example.org"])) and not one(findings.in_scope(F.lit("badexample.org"), "allowlist", ["example.org"]))
-    with pytest.raises(ValueError):
-        findings.in_scope(host, "other", [])
     assert one(urls.glob_match(F.lit("/app/x.html"), "/app/*.html")) and not one(urls.glob_match(F.lit("/app/a/x.html"), "/app/*.html"))
 
 

@@ -10,6 +10,11 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value being worked out once: the optimizer would copy it to every place where it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def host(url: str | Column) -> Column:
     """Lower-case host of an http(s) URL, without port; empty if there is none."""
     return F.lower(F.regexp_extract(_col(url), "^[A-Za-z]+://([^/:?#]+)", 1))
@@ -49,7 +54,7 @@ def query_params(url: str | Column) -> Column:
 # Query parameters that the frontier ignores; a star stands for any ending.
 IGNORED_PARAMS = ("utm_*", "fbclid", "gclid", "gbraid", "wbraid", "msclkid", "mc_cid", "mc_eid")
 # Schemes that are no pages.
-DROPPED_SCHEMES = ("mailto", "tel", "javascript", "data", "blob")
+DROPPED_SCHEMES = ("ftp", "mailto", "javascript", "tel", "data", "blob", "file", "gopher", "dict", "ldap", "ldaps", "sftp")
 
 
 def frontier_key(url: str | Column, ignored: tuple[str, ...] = IGNORED_PARAMS) -> Column:
@@ -83,15 +88,22 @@ def _escapes(text: Column, unreserved: bool) -> Column:
 
 def normalize(url: str | Column) -> Column:
     """Scheme and host in lower case, no default port, path of / at least, percent codes unified, no fragment; null if it is no http(s) URL."""
-    u = F.regexp_replace(F.trim(_col(url)), "[\\x00-\\x1F\\x7F]", "")
+    return let(F.regexp_replace(F.trim(_col(url)), "[\\x00-\\x1F\\x7F]", ""), _normal)
+
+
+def _normal(u: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_replace(F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1), "^[^@]*@", "")
-    name = F.lower(F.regexp_extract(authority, "^(\\[[^\\]]*\\]|[^:]*)", 1))
-    port = F.regexp_extract(authority, ":([0-9]+)$", 1)
-    kept = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
     path, query = _path(u), F.regexp_extract(u, "^[^?#]*\\?([^#]*)", 1)
-    whole = F.concat(scheme, F.lit("://"), name, kept, F.when(path == "", "/").otherwise(_escapes(path, True)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), _escapes(query, False))))
-    return F.when(scheme.isin("http", "https") & (name != ""), whole)
+
+    def whole(scheme, authority):
+        name = F.lower(F.regexp_extract(authority, "^(\\[[^\\]]*\\]|[^:]*)", 1))
+        port = F.regexp_extract(authority, ":([0-9]+)$", 1)
+        kept = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+        rest = F.concat(let(path, lambda p: F.when(p == "", "/").otherwise(_escapes(p, True))), let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), _escapes(q, False)))))
+        return F.when(scheme.isin("http", "https") & (name != ""), F.concat(scheme, F.lit("://"), name, kept, rest))
+
+    return let(F.struct(scheme.alias("s"), authority.alias("a")), lambda x: whole(x["s"], x["a"]))
 
 
 def identity(url: str | Column) -> Column:
@@ -101,8 +113,9 @@ def identity(url: str | Column) -> Column:
 
 
 def dropped_scheme(url: str | Column) -> Column:
-    """Whether a link leads to no page by its scheme."""
-    return F.lower(F.regexp_extract(F.trim(_col(url)), "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*DROPPED_SCHEMES)
+    """Whether a link leads to no page by its scheme; tabs, line ends and NULs inside it don't count."""
+    bare = F.regexp_replace(F.trim(_col(url)), "[\\t\\n\\r\\x00]", "")
+    return F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*DROPPED_SCHEMES)
 
 
 def first_segment(url: str | Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
+from webloom.functions.scope import in_scope
 from webloom.operators import crawl, findings
 from webloom.sources import tables as T
 
@@ -128,14 +129,14 @@ def ignored_filters(given: dict[str, object], applicable: set[str]) -> list[str]
 
 def flt_analyzable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetches that make a page: 2xx, ended on a host in scope."""
-    u = T.urls(spark, sf_dir).select(F.col("url_id").alias("final_id"), "host").where(findings.in_scope(F.col("host"), "registrable_domain", ["example.org"]))
+    u = T.urls(spark, sf_dir).select(F.col("url_id").alias("final_id"), "url").where(in_scope("url", "registrable_domain", "example.org"))
     return T.fetches(spark, sf_dir).where(F.col("status_code").between(200, 299)).join(u, "final_id", "left_semi").select("fetch_seq", "url_id")
 
 
 def flt_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every URL with whether it is in scope, by domain and below an allowed host."""
-    host = F.col("host")
-    return T.urls(spark, sf_dir).select("url_id", findings.in_scope(host, "registrable_domain", ["m.example.net"]).alias("by_domain"), findings.in_scope(host, "allowlist", ["example.org"]).alias("by_list"))
+    """Every URL with whether it is in scope, by the seed's registrable domain, by its host, and by a list of hosts."""
+    by = {"by_domain": in_scope("url", "registrable_domain", "m.example.net"), "by_host": in_scope("url", "exact_host", "M.therou.example.com:443"), "by_list": in_scope("url", "allowlist", allowed=("www.cheap-pills.example.com", "spam-farm.example.org"))}
+    return T.urls(spark, sf_dir).select("url_id", *[c.alias(n) for n, c in by.items()])
 
 
 def flt_activity(spark: SparkSession, sf_dir: str) -> DataFrame:

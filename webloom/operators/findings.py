@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
+from webloom.functions.scope import in_scope
 from webloom.operators import crawl
 from webloom.sources import tables as T
 
@@ -73,21 +74,9 @@ def sitemap_url_redirect_host_mismatch(spark: SparkSession, sf_dir: str) -> Data
     return listed.join(last, "url_id").join(final, "final_id").where("requested_host != final_host").select("url_id", "requested_host", "final_host")
 
 
-def in_scope(host, mode: str, hosts: list[str]):
-    """Whether a host is in scope: 'exact_host' is one of the seeds', 'registrable_domain' shares its last two labels with one, 'allowlist' is one given or below it."""
-    domain = lambda h: F.substring_index(h, ".", -2)
-    if mode == "exact_host":
-        return host.isin(*hosts)
-    if mode == "registrable_domain":
-        return domain(host).isin(*sorted({".".join(h.split(".")[-2:]) for h in hosts}))
-    if mode == "allowlist":
-        return F.exists(F.array(*map(F.lit, hosts)), lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
-    raise ValueError(f"unknown scope mode {mode}")
-
-
 def sitemap_url_external_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a sitemap key on a host out of scope, the scope being the domain example.org."""
-    outside = T.sitemap(spark, sf_dir).withColumn("host", U.host("url")).where("host != ''").where(~in_scope(F.col("host"), "registrable_domain", ["www.example.org"]))
+    outside = T.sitemap(spark, sf_dir).withColumn("host", U.host("url")).where("host != ''").where(~in_scope("url", "registrable_domain", "www.example.org"))
     return outside.groupBy("key").agg(F.min("url").alias("url"), F.min("host").alias("host"))
 
 

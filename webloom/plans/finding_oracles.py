@@ -44,7 +44,7 @@ _FOUND = {
     "flt_or_like": "SELECT url, source FROM m WHERE contains(lower(url), '/fr/') OR contains(CAST(source AS VARCHAR), '4')",
     "flt_sitemap_status": "SELECT url, source, CASE WHEN key IN (SELECT key FROM u WHERE status = 'fetched') THEN 'in_crawl' ELSE 'not_in_crawl' END AS state FROM m",
     "flt_analyzable": f"SELECT fetch_seq, f.url_id FROM f JOIN u ON u.url_id = f.final_id WHERE status_code // 100 = 2 AND {_DOMAIN.format('host')} = 'example.org'",
-    "flt_scope": f"SELECT url_id, {_DOMAIN.format('host')} = 'example.net' AS by_domain, host = 'example.org' OR ends_with(host, '.example.org') AS by_list FROM u",
+    "flt_scope": f"SELECT url_id, {_DOMAIN.format('host')} = 'example.net' AS by_domain, host = 'm.therou.example.com' AS by_host, host IN ('www.cheap-pills.example.com', 'spam-farm.example.org') AS by_list FROM u",
     "flt_activity": "SELECT fetch_seq, url_id FROM f WHERE fetch_seq > 900",
     "flt_force_render": "SELECT url_id, url FROM u WHERE regexp_matches(path, '^/e[^/]/1[^/]*$')",
     "prj_scalar_subquery": "SELECT url_id, (SELECT status_code FROM last WHERE last.url_id = p.url_id) AS status_code FROM p",
