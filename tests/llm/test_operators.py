@@ -201,6 +201,16 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_parted_lists(spark):
+    """Pairs that stand apart in every part of their lists are linked all the same."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(79)) for k in range(40)]
+    rows = [(2 * k + d, f"{t} end{d}") for k, t in enumerate(texts) for d in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for long_list in (1, 1 << 17):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, long_list=long_list).collect()}
+        assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_jaccard_ids(spark):
     """Repeated rows, one id with two texts, and null ids: every row comes back, judged by its own text."""
     prose = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]

@@ -108,10 +108,10 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _parts(level: np.ndarray, node: np.ndarray, long_list: int) -> np.ndarray:
-    """The part of its token's list in which a document stands: as many parts as the token's frequency asks for."""
+def _parts(level: np.ndarray, node: np.ndarray, long_list: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of its token's list in which a document stands, and whether there are others: as many as the token's frequency asks for."""
     parts = np.maximum(1, np.ceil(np.exp2(level / 8) / long_list)).astype(U64)
-    return mix(node.view(U64)) % parts
+    return mix(node.view(U64)) % parts, parts > 1
 
 
 def _postings(levels, bits: int, long_list: int):
@@ -146,11 +146,12 @@ def _postings(levels, bits: int, long_list: int):
             doc, s, own = doc[order], s[order], own[order]
             nth = np.arange(len(doc)) - np.repeat(first, n[some])
             pick = (nth < _prefix(n)[doc]) & fresh[doc]
-            # share of a prefix that is frequent, in 255ths: high for a text whose copies were changed, low for those with many changes
+            # share of a prefix that is frequent, in 127ths: high for a text whose copies were changed, low for those with many changes
             often = np.bincount(doc[pick], weights=own[pick] > 0, minlength=part.num_rows)
-            common = (255 * often / np.maximum(1, _prefix(n))).astype(np.uint8)
+            common = (127 * often / np.maximum(1, _prefix(n))).astype(np.uint8)
             ids = node[doc[pick]]
-            held.append((_token(s[pick]), _parts(own[pick].astype(float), ids, long_list), ids, common[doc[pick]]))
+            place, parted = _parts(own[pick].astype(float), ids, long_list)
+            held.append((_token(s[pick]), place, ids, common[doc[pick]] << 1 | parted))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield flush()
         if held:
@@ -161,18 +162,21 @@ def _postings(levels, bits: int, long_list: int):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """Nodes that share a prefix token (and a part of its list): (token, doc, lead), lead being that with the most frequent prefix, then the least."""
+    """Nodes that share a prefix token (and a part of its list): (token, doc, lead), lead being that with the most frequent prefix, then the least.
+
+    A node alone in its list is left out, but not one alone in a part of a list, as it meets the other parts' nodes later.
+    """
     token = np.concatenate([_unpack(x) for x in table["tokens"].to_pylist()])
     doc = np.concatenate([np.frombuffer(x, "<i8") for x in table["docs"].to_pylist()])
     common = np.frombuffer(b"".join(table["common"].to_pylist()), np.uint8)
-    order = np.lexsort((doc, 255 - common, token))
-    token, doc = token[order], doc[order]
+    order = np.lexsort((doc, 127 - (common >> 1), token))
+    token, doc, parted = token[order], doc[order], (common[order] & 1).astype(bool)
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])))
-    token, doc = token[new], doc[new]
+    token, doc, parted = token[new], doc[new], parted[new]
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     size = np.diff(np.append(start, len(token)))
     lead = np.repeat(doc[start], size)
-    many = np.repeat(size > 1, size)
+    many = np.repeat(size > 1, size) | parted
     return pa.table({"token": token[many].view(np.int64), "doc": doc[many], "lead": lead[many]})
 
 
