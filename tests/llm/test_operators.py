@@ -477,3 +477,27 @@ def test_repeats(docs, none):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(cut), runs, hashlib.sha256(kept).hexdigest())
     assert repeats.remove_repeats(none).count() == 0
+
+
+def test_repeats_ids(spark):
+    """Repeated rows, one id with several texts, and null ids: every row comes back, judged by its own text."""
+    rnd = random.Random(7)
+    prose = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    a, b, c, d = (prose(200) for _ in range(4))
+    rows = [(1, a), (2, a + b), (2, a + b), (2, b), (4, "xxxxx"), (4, b + "y" + c), (4, prose(60) + a[20:120]), (None, c + d), (None, c + d), (None, a), (None, None), (5, d + "z"), (3, "short"), (4, prose(70) + d)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mark int").repartition(3)
+    key = lambda i, t: (1 << 62) + 1 if i is None else i
+
+    def kept(i, t):
+        t = (t or "").encode()
+        earlier = set()
+        for j, u in rows:
+            u = (u or "").encode()
+            if key(j, u) < key(i, t):
+                earlier |= {u[k : k + 50] for k in range(len(u) - 49)}
+        cut = {k + x for k in range(len(t) - 49) if t[k : k + 50] in earlier for x in range(50)}
+        return (i, len(t), len(cut), hashlib.sha256(bytes(x for k, x in enumerate(t) if k not in cut)).hexdigest())
+
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()), key=str)
+    assert got == sorted((kept(i, t) for i, t in rows), key=str)
+    assert min(r[2] for r in got) == 0 and len(got) == len(rows)
