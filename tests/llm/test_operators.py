@@ -501,3 +501,17 @@ def test_repeats_ids(spark):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()), key=str)
     assert got == sorted((kept(i, t) for i, t in rows), key=str)
     assert min(r[2] for r in got) == 0 and len(got) == len(rows)
+
+
+def test_topk_ids(spark):
+    """Equal rows count once; rows that share an id are queries and candidates of their own."""
+    rows = [(0, [3, 1]), (0, [3, 1]), (0, [1, 5]), (1, [2, 2]), (1, [2, 2]), (1, [9, 0]), (2, [4, 4]), (3, [1, 1]), (None, [9, 9])]
+    vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, vector array<bigint>, key int").repartition(3)
+    got = sorted(map(tuple, topk.topk(vectors, vectors.where("vec_id = 0"), 3).collect()))
+    distinct = {(i, tuple(v)) for i, v in rows if i is not None}
+    want = []
+    for i, q in distinct:
+        if i == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in distinct if j != 0)[:3]
+            want += [(0, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 6

@@ -32,7 +32,7 @@ def _profile(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best candidates of a block.
+    """(place of the query, candidate, score) of each query's k best candidates of a block.
 
     The inner product of two vectors is the sum over segments of length * (product of means + mean
     product of offsets), and by Cauchy and Schwarz the latter is at most the product of deviations.
@@ -69,8 +69,8 @@ def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
         i, j, score = i[order], j[order], score[order]
         first = np.searchsorted(i, i)
         best = np.arange(len(i)) - first < k
-        out.append((qid[at + i[best]], cid[j[best]], score[best]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (qid[:0], cid[:0], np.zeros(0, np.int64))
+        out.append((at + i[best], cid[j[best]], score[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), cid[:0], np.zeros(0, np.int64))
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
@@ -79,8 +79,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     Vectors are arrays of integers. Candidates and queries are dealt into blocks by hash; each pair
     of blocks is one task's work, which returns k rows a query, and these are ranked. The number of
     blocks follows the number of rows. Vectors that are null or have null elements, and rows with a
-    null id, take no part; shorter vectors count as if filled with zeros. A query is no candidate
-    of its own id. Empty tables give an empty result; extra columns are ignored.
+    null id, take no part; shorter vectors count as if filled with zeros. Rows equal in id and
+    vector count once; rows that share only the id are rows of their own, each with its own ranks. No
+    row of a query's id is a candidate for it. Empty tables give an empty result; extra columns are ignored.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
@@ -90,20 +91,21 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
 
     candidates, queries = usable(vectors), usable(queries)
     blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((candidates, BLOCK), (queries, QUERY_BLOCK)))
+    candidates, queries = (df.withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"]) for df in (candidates, queries))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     dealt = candidates.select(part(blocks).alias("c_block"), numbers(query_blocks).alias("q_block"), "id", "v")
-    asked = queries.select(numbers(blocks).alias("c_block"), part(query_blocks).alias("q_block"), "id", "v")
+    asked = queries.select(numbers(blocks).alias("c_block"), part(query_blocks).alias("q_block"), "id", "v", "key")
 
     def work(asked: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(dealt):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = block_topk(asked["id"].to_numpy(), _matrix(asked["v"]), dealt["id"].to_numpy(), _matrix(dealt["v"]), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+            return pd.DataFrame({"query_id": [], "key": [], "vec_id": [], "score": []}, dtype="int64")
+        at, found, score = block_topk(asked["id"].to_numpy(), _matrix(asked["v"]), dealt["id"].to_numpy(), _matrix(dealt["v"]), k)
+        return pd.DataFrame({"query_id": asked["id"].to_numpy()[at], "key": asked["key"].to_numpy()[at], "vec_id": found, "score": score})
 
     key = ("c_block", "q_block")
-    found = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(work, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(work, "query_id long, key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
