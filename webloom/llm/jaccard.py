@@ -18,7 +18,7 @@ SKETCH_BITS, SLICE_BITS = 22, 16
 #: Bits of a token in a list and in a stored set; least log2 of the buckets of lists; bytes of postings that a bucket should hold.
 TOKEN_BITS, LEAST_BUCKET_BITS, BUCKET_BYTES = 56, 10, 8 << 20
 #: Postings that a task gathers before it hands them on.
-FLUSH = 750_000
+FLUSH = 300_000
 #: Documents from which a token's list is parted by document, each part with a leader of its own.
 LONG_LIST = 1 << 17
 #: Comparisons within one list from which it is parted by the tokens of the second order.
@@ -26,7 +26,7 @@ HEAVY_LIST = 1 << 26
 #: Ids of which a broadcast may hold so many.
 FEW = 500_000
 #: Bytes of text hashed at a time: a worker takes some fifty times as much while it does.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bits of a parity signature (fixed), and comparisons made at a time.
 PARITY_BITS, BLOCK = 512, 1 << 18
 _ORDERS = (U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25))  # of the second and third order
