@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from webloom.llm import repair
@@ -73,9 +74,7 @@ def conversations():
     return rows
 
 
-@pytest.mark.parametrize("segment", [64, 5])
-def test_repair(spark, monkeypatch, segment):
-    monkeypatch.setattr(repair, "SEGMENT", segment)
+def test_repair(spark):
     rows = conversations()
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, digest string, n int").repartition(5)
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -103,6 +102,26 @@ def test_layers():
             assert (paid + 3 * len(more), audit + more, repair._sha(lines + inserted)) == want[6:]
 
 
+@pytest.mark.parametrize("segment", [1, 5, 64])
+def test_segments(monkeypatch, segment):
+    """However a conversation is cut into segments and runs, the audit is the same."""
+    monkeypatch.setattr(repair, "SEGMENT", segment)
+    rnd = random.Random(segment)
+    for _ in range(30):
+        rows = [(0, k, rnd.choice(["user", "assistant", "system", "tool"]), f"{k}" + rnd.choice([".", ""])) for k in range(rnd.randint(0, 40))]
+        cut = rnd.randint(0, len(rows))
+        runs = [repair._Run(), repair._Run()]
+        for k, (_, _, role, text) in enumerate(rows):
+            runs[k >= cut].add(role, text, 1, True, not text.endswith("."))
+        beyond = repair._times(runs[1].matrix(), repair._ACCEPT)
+        state, paid, audit, lines = repair._trace(runs[0], repair._solved(runs[:1], [beyond])[0], 0)
+        end, more, rest, after = repair._trace(runs[1], repair._solved(runs[1:], [np.array(repair._ACCEPT)])[0], state)
+        tail, inserted = repair._end(end)
+        cost = sum(r.base for r in runs) + paid + more + 3 * len(tail)
+        want = brute(rows)[0][6:] if rows else (0, "", hashlib.sha256(b"").hexdigest())
+        assert (cost, audit + rest + tail, repair._sha(lines + after + inserted)) == want
+
+
 def test_damage_and_nothing(spark):
     rows = [(c, t, "assistant", "One. Two!") for c in range(40) for t in range(3)] + [(None, None, None, None), (7, None, "user", "a.")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
