@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
+from webloom.operators import crawl
 from webloom.operators.crawl import QUERIES, recomputed_depths
 from webloom.plans.oracles import ORACLES
 
@@ -72,3 +73,16 @@ def test_page_depths(spark):
     seeds = spark.createDataFrame([(1,), (5,), (60,)], "url_id long")
     assert {tuple(r) for r in recomputed_depths(spark, pages, links, seeds).collect()} == {(1, 0), (2, 1), (3, 2), (4, 1), (5, 0), (6, 7), (7, 5)}
     assert {tuple(r) for r in recomputed_depths(spark, pages, links, seeds.limit(0)).collect()} == {tuple(r) for r in pages.collect()}
+
+
+def test_hosts_without_https(spark):
+    """Only a redirect from the host's own http URLs to https counts, not an https URL of the host."""
+    urls_ = spark.createDataFrame([("http://a.com/x", "a.com"), ("https://a.com/x", "a.com"), ("http://b.com/", "b.com"), ("http://c.com/", "c.com"), ("http://d.com/", "d.com"), ("https://e.com/", "e.com"), ("http://f.com/", "f.com")], "url string, host string")
+    hops = spark.createDataFrame([("http://b.com/old", "https://b.com/new"), ("http://c.com:8080/", "HTTPS://other.com/"), ("https://a.com/x", "https://a.com/y"), ("http://d.com/", "http://d.com/z"), ("http://f.com.evil.com/", "https://f.com/")], "from_url string, to_url string")
+    assert {r.host for r in crawl.hosts_without_https(urls_, hops).collect()} == {"a.com", "d.com", "f.com"}
+
+
+def test_js_only_links(spark):
+    urls_ = spark.createDataFrame([(1, "https://e.com/a"), (2, "https://e.com/b"), (3, "https://e.com/c#x"), (4, "HTTPS://E.com:443/a")], "url_id long, url string")
+    links = spark.createDataFrame([(1, 2, "browser"), (1, 2, "browser"), (2, 1, "browser"), (2, 1, "static"), (1, 3, "browser"), (1, 4, "browser"), (1, 1, "browser"), (2, 4, "browser")], "source_id long, target_id long, discovery_mode string")
+    assert {tuple(r) for r in crawl.js_only_links(links, urls_).collect()} == {(1, 2), (2, 4)}

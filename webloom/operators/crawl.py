@@ -72,11 +72,20 @@ def no_internal_outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.pages(spark, sf_dir).join(_links(spark, sf_dir).select(F.col("source_id").alias("url_id")), "url_id", "left_anti").select("url_id")
 
 
-def js_only_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that only a browser found: no static link joins the same pages."""
-    links = _links(spark, sf_dir)
+def js_only_links(links: DataFrame, urls: DataFrame) -> DataFrame:
+    """Links (source_id, target_id, discovery_mode) that only a browser found: no static link joins the same URLs.
+
+    Targets with a fragment don't count, nor do links to the source's own URL under another spelling.
+    """
     static = links.where("discovery_mode = 'static'").select("source_id", "target_id")
-    return links.where("discovery_mode = 'browser' and source_id != target_id").select("source_id", "target_id").distinct().join(static, ["source_id", "target_id"], "left_anti")
+    found = links.where("discovery_mode = 'browser'").select("source_id", "target_id").distinct().join(static, ["source_id", "target_id"], "left_anti")
+    named = lambda end: urls.select(F.col("url_id").alias(f"{end}_id"), F.col("url").alias(f"{end}_url"))
+    both = found.join(named("target").where("not contains(target_url, '#')"), "target_id").join(named("source"), "source_id")
+    return both.where(~U.normalize("source_url").eqNullSafe(U.normalize("target_url"))).select("source_id", "target_id")
+
+
+def js_only_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return js_only_links(_links(spark, sf_dir), T.urls(spark, sf_dir).select("url_id", "url"))
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +144,21 @@ def url_in_multiple_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sitemap(spark, sf_dir).groupBy("key").agg(F.min("url").alias("url"), F.countDistinct("source").alias("sitemap_count")).where("sitemap_count > 1").select("url", "sitemap_count")
 
 
+def hosts_without_https(urls: DataFrame, hops: DataFrame) -> DataFrame:
+    """Hosts with an http URL (url, host) from none of whose http URLs a redirect (from_url, to_url) leads to https, wherever that is.
+
+    The host of a hop is cut out of its URL, so this is a join by host instead of a comparison of prefixes.
+    """
+    upgraded = hops.where(F.lower("to_url").startswith("https://")).select(F.lower(F.regexp_extract("from_url", "^(?i:http)://([^/:?#]+)(?:[/:]|$)", 1)).alias("host")).where("host != ''")
+    return urls.where("url like 'http://%'").select("host").distinct().join(upgraded, "host", "left_anti")
+
+
 def http_to_https_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts with an http URL and no https one."""
+    """Hosts whose http URLs are never redirected to https; the hops are the fetches that moved."""
     u = T.urls(spark, sf_dir)
-    secure = u.where("url like 'https://%'").select("host")
-    return u.where("url like 'http://%'").select("host").distinct().join(secure, "host", "left_anti")
+    end = lambda key, name: u.select(F.col("url_id").alias(key), F.col("url").alias(name))
+    moved = T.fetches(spark, sf_dir).where("status_code = 301").select("url_id", "final_id").distinct()
+    return hosts_without_https(u, moved.join(end("url_id", "from_url"), "url_id").join(end("final_id", "to_url"), "final_id"))
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ _BODIES = {
     "link_counts": "SELECT u.url_id, (SELECT count(*) FROM l WHERE l.target_id = u.url_id) AS inbound, (SELECT count(DISTINCT source_id) FROM l WHERE l.target_id = u.url_id) AS linking_pages, (SELECT count(*) FROM l WHERE l.source_id = u.url_id) AS outbound FROM u",
     "orphan_page": "SELECT url_id FROM u WHERE via <> 'seed' AND NOT EXISTS (SELECT 1 FROM l WHERE l.target_id = u.url_id)",
     "no_internal_outlinks": "SELECT url_id FROM u WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.source_id = u.url_id)",
-    "js_only_navigation": "SELECT source_id, target_id FROM l WHERE source_id <> target_id GROUP BY ALL HAVING count(*) FILTER (mode = 'static') = 0",
+    "js_only_navigation": "SELECT source_id, target_id FROM l JOIN u s ON s.url_id = source_id JOIN u t ON t.url_id = target_id WHERE t.url NOT LIKE '%#%' AND regexp_replace(s.url, '#.*$', '') <> t.url GROUP BY source_id, target_id HAVING count(*) FILTER (mode = 'static') = 0",
     "win_latest": "SELECT * FROM last",
     "canonical_to_non_200": "SELECT p.url_id, p.canonical_id, status_code FROM p JOIN last ON last.url_id = p.canonical_id WHERE p.canonical_id <> p.url_id AND status_code <> 200",
     "canonical_chain": "SELECT a.url_id, a.url_id - a.url_id % 4 + 1 AS canonical_id, b.url_id - b.url_id % 4 AS next_id FROM u a JOIN u b ON b.url_id = a.url_id - a.url_id % 4 + 1 WHERE a.url_id <> b.url_id",
@@ -53,7 +53,7 @@ _BODIES = {
     "in_sitemap_robots_blocked": "SELECT m.url, m.source, u.url_id FROM m JOIN u USING (key) WHERE u.status = 'robots_blocked'",
     "non_indexable_in_sitemap": "SELECT m.url, u.url_id, state AS indexability_state FROM m JOIN u USING (key) JOIN p USING (url_id) WHERE state <> 'indexable'",
     "url_in_multiple_sitemaps": "SELECT min(url) AS url, count(DISTINCT source) AS sitemap_count FROM m GROUP BY key HAVING count(DISTINCT source) > 1",
-    "http_to_https_missing": "SELECT host FROM u GROUP BY host HAVING bool_or(starts_with(url, 'http://')) AND NOT bool_or(starts_with(url, 'https://'))",
+    "http_to_https_missing": "SELECT DISTINCT host FROM u WHERE starts_with(url, 'http://') AND host NOT IN (SELECT a.host FROM f JOIN u a ON a.url_id = f.url_id JOIN u b ON b.url_id = f.final_id WHERE status_code = 301 AND starts_with(a.url, 'http://') AND starts_with(b.url, 'https://'))",
     "url_rules": "SELECT url_id, unnest(list_filter([CASE WHEN regexp_matches(d, '[A-Z]') THEN 'url_uppercase' END, CASE WHEN contains(d, '_') THEN 'url_underscores' END, CASE WHEN regexp_matches(url, '\\?[^#]') THEN 'url_has_parameters' END, CASE WHEN strlen(url) > 115 THEN 'url_too_long' END, CASE WHEN contains(d, '//') THEN 'url_multiple_slashes' END, CASE WHEN len(list_filter(range(2, len(s) + 1), lambda i: s[i] <> '' AND s[i] = s[i - 1])) > 0 THEN 'url_repetitive_path' END, CASE WHEN contains(url, '%20') OR contains(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', ''), '+') THEN 'url_contains_space' END], lambda x: x IS NOT NULL)) AS issue_type FROM (SELECT url_id, url, url_decode(path) AS d, string_split(path, '/') AS s FROM u)",
     "url_frontier_key": "SELECT url_id, CASE WHEN rest = '' THEN base ELSE base || '?' || rest END AS frontier_key FROM (SELECT url_id, regexp_replace(url, '[?#].*$', '') AS base, array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|gbraid|wbraid|msclkid|mc_cid|mc_eid)(=|$)')), '&') AS rest FROM u)",
     "agg_group_count": "SELECT status_code, count(*) AS n FROM f GROUP BY status_code",
