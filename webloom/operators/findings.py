@@ -107,31 +107,52 @@ def fetch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fetches(spark, sf_dir).select("fetch_seq", "url_id", F.explode(found).alias("x")).select("fetch_seq", "url_id", "x.issue_type", "x.severity")
 
 
-#: Severity of each cross-page detector, and the columns that are its details.
+#: Severity of each cross-page detector; the columns it gives beside url_id are its details.
 DETECTORS = {
     "duplicate_title": ("warning", crawl.duplicate_title),
     "duplicate_description": ("warning", crawl.duplicate_description),
+    "duplicate_content": ("warning", crawl.duplicate_content),
     "duplicate_h1": ("warning", crawl.duplicate_h1),
     "duplicate_h2": ("warning", crawl.duplicate_h2),
     "orphan_page": ("warning", crawl.orphan_page),
+    "deep_page": ("info", deep_page),
     "hreflang_not_reciprocal": ("warning", hreflang_not_reciprocal),
     "broken_hreflang_target": ("error", broken_hreflang_target),
     "canonical_to_non_200": ("error", crawl.canonical_to_non_200),
+    "canonical_chain": ("warning", crawl.canonical_chain),
     "canonical_to_redirect": ("warning", canonical_to_redirect),
+    "non_indexable_canonical": ("warning", crawl.non_indexable_canonical),
+    "unlinked_canonical": ("warning", crawl.unlinked_canonical),
     "broken_pagination_chain": ("warning", broken_pagination_chain),
     "pagination_canonical_mismatch": ("warning", pagination_canonical_mismatch),
     "sitemap_non_200": ("warning", sitemap_non_200),
+    "sitemap_url_redirect_host_mismatch": ("warning", sitemap_url_redirect_host_mismatch),
+    "sitemap_url_external_host": ("warning", sitemap_url_external_host),
+    "crawled_not_in_sitemap": ("info", crawl.crawled_not_in_sitemap),
+    "in_sitemap_not_crawled": ("info", crawl.in_sitemap_not_crawled),
+    "in_sitemap_robots_blocked": ("warning", crawl.in_sitemap_robots_blocked),
+    "http_to_https_missing": ("info", crawl.http_to_https_missing),
+    "js_only_navigation": ("warning", lambda spark, sf_dir: crawl.js_only_navigation(spark, sf_dir).withColumnRenamed("source_id", "url_id")),
     "image_over_100kb": ("warning", image_over_100kb),
+    "no_internal_outlinks": ("warning", crawl.no_internal_outlinks),
+    "non_indexable_in_sitemap": ("warning", crawl.non_indexable_in_sitemap),
+    "url_in_multiple_sitemaps": ("info", crawl.url_in_multiple_sitemaps),
+    "sitemap_too_large": ("warning", lambda spark, sf_dir: sitemap_too_large(spark, sf_dir, SITEMAP_ROWS)),
 }
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table of issues: url_id, issue_type, severity, scope ('page_local' or 'global') and details as JSON."""
+    """One table of issues: url_id, issue_type, severity, scope ('page_local' or 'global') and details as JSON.
+
+    All cross-page detectors and the rules on fetches; url_id is null where an issue is a host's or a sitemap's. The rules on
+    documents are in page_rules(), which reads the extraction.
+    """
     tables = []
     for name, (severity, find) in DETECTORS.items():
         found = find(spark, sf_dir)
-        details = F.to_json(F.struct(*[c for c in found.columns if c != "url_id"])) if len(found.columns) > 1 else F.lit("{}")
-        tables.append(found.select("url_id", F.lit(name).alias("issue_type"), F.lit(severity).alias("severity"), F.lit("global").alias("scope"), details.alias("details")))
+        details = F.to_json(F.struct(*[c for c in found.columns if c != "url_id"])) if set(found.columns) != {"url_id"} else F.lit("{}")
+        url_id = F.col("url_id").cast("long") if "url_id" in found.columns else F.lit(None).cast("long")
+        tables.append(found.select(url_id.alias("url_id"), F.lit(name).alias("issue_type"), F.lit(severity).alias("severity"), F.lit("global").alias("scope"), details.alias("details")))
     local = fetch_rules(spark, sf_dir)
     tables.append(local.select("url_id", "issue_type", "severity", F.lit("page_local").alias("scope"), F.to_json(F.struct("fetch_seq")).alias("details")))
     whole = tables[0]

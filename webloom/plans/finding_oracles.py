@@ -70,8 +70,14 @@ _FOUND = {
     # the tables' hosts are lower-cased without ports, and their paths hold no percent codes: what is left is fragments, www. and slashes
     "url_normalize": "SELECT url, n AS normalized, regexp_replace(regexp_replace(n, '^(https?://)www\\.', '\\1'), '^(https?://[^/?]+/[^?]*[^/?])/+(\\?|$)', '\\1\\2') AS identity FROM (SELECT url, regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]*)(\\?|$)', '\\1/\\2') AS n FROM m)",
 }
-_ISSUES = {"duplicate_title": "warning", "duplicate_description": "warning", "duplicate_h1": "warning", "duplicate_h2": "warning", "orphan_page": "warning", "hreflang_not_reciprocal": "warning", "broken_hreflang_target": "error", "canonical_to_non_200": "error", "canonical_to_redirect": "warning", "broken_pagination_chain": "warning", "pagination_canonical_mismatch": "warning", "sitemap_non_200": "warning", "image_over_100kb": "warning"}
-_FOUND["issue_table"] = " UNION ALL ".join(f"SELECT url_id, '{k}' AS issue_type, '{v}' AS severity, 'global' AS scope FROM ({(_BODIES | _FOUND)[k]})" for k, v in _ISSUES.items()) + f" UNION ALL SELECT url_id, issue_type, severity, 'page_local' FROM ({_FETCH_RULES})"
+_WARNINGS = (
+    "duplicate_title", "duplicate_description", "duplicate_content", "duplicate_h1", "duplicate_h2", "orphan_page", "hreflang_not_reciprocal", "canonical_chain", "canonical_to_redirect", "non_indexable_canonical", "unlinked_canonical", "broken_pagination_chain",
+    "pagination_canonical_mismatch", "sitemap_non_200", "sitemap_url_redirect_host_mismatch", "sitemap_url_external_host", "in_sitemap_robots_blocked", "js_only_navigation", "image_over_100kb", "no_internal_outlinks", "non_indexable_in_sitemap",
+)
+_ISSUES = dict.fromkeys(_WARNINGS, "warning") | dict.fromkeys(("broken_hreflang_target", "canonical_to_non_200"), "error") | dict.fromkeys(("deep_page", "crawled_not_in_sitemap", "in_sitemap_not_crawled", "http_to_https_missing", "url_in_multiple_sitemaps"), "info")
+_ID = {"js_only_navigation": "source_id", "sitemap_url_external_host": "NULL", "http_to_https_missing": "NULL", "url_in_multiple_sitemaps": "NULL"}
+_DEEP = {"deep_page": f"SELECT url_id FROM ({CRAWL['page_depths']}) WHERE depth > 3"}
+_FOUND["issue_table"] = " UNION ALL ".join(f"SELECT {_ID.get(k, 'url_id')} AS url_id, '{k}' AS issue_type, '{v}' AS severity, 'global' AS scope FROM ({(_BODIES | _FOUND | _DEEP)[k]})" for k, v in _ISSUES.items()) + f" UNION ALL SELECT url_id, issue_type, severity, 'page_local' FROM ({_FETCH_RULES})"
 for _key, _column in {"url": "url", "title": "title", "status": "status_code", "sitemap": "in_sitemap", "depth": "depth", "words": "word_count", "issues": "issues", "inbound": "inbound", "outbound": "outbound"}.items():
     _way = "DESC NULLS LAST" if _key in ("words", "issues", "inbound", "outbound", "sitemap") else "ASC NULLS FIRST"
     _FOUND[f"srt_pages_{_key}"] = f"SELECT url_id, {_column} AS sorted_by, (SELECT count(*) FROM p) AS total FROM ({_VIEW}) ORDER BY {_column} {_way}, url_id LIMIT 50 OFFSET 20"

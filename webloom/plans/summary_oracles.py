@@ -18,7 +18,7 @@ SELECT (SELECT count(*) FROM p) AS total_pages, (SELECT count(*) FROM u) AS tota
   (SELECT count(DISTINCT url_id) FROM i WHERE url_id IN (SELECT url_id FROM p)) AS pages_with_issues, (SELECT count(*) FROM u WHERE key IN (SELECT key FROM m)) AS pages_in_sitemap,
   (SELECT count(*) FROM u WHERE url_id NOT IN (SELECT target_id FROM l)) AS orphan_page_count, (SELECT CAST(sum(member_count) AS BIGINT) FROM ({_BODIES["cluster_duplicate"]})) AS duplicate_content_count,
   (SELECT count(*) FROM p WHERE word_count < 200) AS thin_content_count, (SELECT round(s, 6) FROM w) AS crawl_duration, (SELECT round((SELECT count(*) FROM p) / s, 6) FROM w) AS pages_per_second,
-  (SELECT string_agg(issue_type || ' ' || n || ' ' || (SELECT url FROM u WHERE url_id = least), ',' ORDER BY n DESC, issue_type) FROM (SELECT * FROM ty ORDER BY n DESC, issue_type LIMIT 10)) AS top_issues"""
+  (SELECT string_agg(issue_type || ' ' || n || ' ' || coalesce((SELECT url FROM u WHERE url_id = least), ''), ',' ORDER BY n DESC, issue_type) FROM (SELECT * FROM ty ORDER BY n DESC, issue_type LIMIT 10)) AS top_issues"""
 _PATHS = r"""q AS (SELECT url_id, host, url_id % 4 AS who, ['Mozilla/5.0 (compatible; Googlebot/2.1)', 'Googlebot-News', 'half', 'SomeBot'][url_id % 4 + 1] AS user_agent,
   regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', '') AS path FROM u)"""
 _BY_AGENT = r"""SELECT url_id, user_agent, CASE who WHEN 0 THEN regexp_matches(path, '\?page=') OR starts_with(path, '/en/') WHEN 1 THEN true WHEN 2 THEN path = '/de' OR NOT starts_with(path, '/de')
