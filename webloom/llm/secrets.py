@@ -24,8 +24,6 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
 #: Defaults of the bounds of the labelled samples: random strings (values of base spans), and documents whose other strings are ordinary.
 RANDOM_SAMPLE, ORDINARY_DOCS = 20_000, 2_000
-#: Spans put together at a time.
-SPANS_AT_ONCE = 128
 #: Log-likelihood ratio (nats) from which a string is random: in all, and for each transition.
 LEAST_RATIO, LEAST_MEAN = 20.0, 0.7
 #: A stretch ends where the ratio has fallen so far below its peak.
@@ -37,6 +35,35 @@ BACKOFF = 8.0
 MASK = "[SECRET]"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _slices(rows: Column) -> tuple[Column, Column]:
+    """Numbers of the slices that a walk over ``rows`` takes, and their size, both about the root of the number of rows."""
+    size = F.ceil(F.sqrt(F.size(rows))).cast("int")
+    return F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.ceil(F.size(rows) / size).cast("int") - 1)).otherwise(F.array().cast("array<int>")), size
+
+
+def _before(rows: Column, value, combine) -> Column:
+    """For each row, combine() of 0 and the whole numbers value() of all earlier rows.
+
+    An array grows by copying, so one grows over a slice only, then over the slices: n rows cost
+    n ** 1.5 and not n ** 2.
+    """
+    slices, size = _slices(rows)
+    part = lambda k: F.slice(rows, k * size + 1, size)
+    add = lambda acc, n: F.concat(acc, F.array(combine(F.element_at(acc, -1), n)))
+    of_slices = F.transform(slices, lambda k: F.aggregate(part(k), F.lit(0), lambda acc, x: combine(acc, value(x))))
+
+    def within(first):
+        run = lambda k: F.aggregate(part(k), F.array(F.get(first, k)), lambda acc, x: add(acc, value(x)), lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1))
+        return F.flatten(F.transform(slices, run))
+
+    return _let(F.aggregate(of_slices, F.array(F.lit(0)), add), within)
+
+
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, end, kind, value>> of the pattern's leftmost non-overlapping matches, in code points."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -45,23 +72,11 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
     zipped = F.filter(pairs, lambda x: x["m"].isNotNull())  # split leaves one part more, the rest of the text
     length = lambda x: F.length(x["gap"]) + F.length(x["m"])
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    def of_slices(rows):
-        # an array grows by copying: SPANS_AT_ONCE at a time, so many spans take no time with their square
-        n = F.ceil(F.size(rows) / SPANS_AT_ONCE).cast("int")
-        part = lambda k: F.slice(rows, k * SPANS_AT_ONCE + 1, F.lit(SPANS_AT_ONCE))
-        slices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        total = lambda k: F.aggregate(part(k), F.lit(0), lambda acc, x: acc + length(x))
-        offsets = F.aggregate(F.transform(slices, total), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        within = lambda at: F.transform(slices, lambda k: F.aggregate(part(k), F.struct(F.get(at, k).alias("at"), _none().alias("out")), step, lambda acc: acc["out"]))
-        return F.flatten(_let(offsets, within))
+    def placed(rows):
+        spans = lambda x, at: _let(at + F.length(x["gap"]), lambda start: F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")))
+        return F.zip_with(rows, _before(rows, length, lambda x, y: x + y), spans)
 
-    return _let(zipped, of_slices)
+    return _let(zipped, placed)
 
 
 def _none() -> Column:
@@ -144,11 +159,6 @@ def labelled_strings(docs: DataFrame, found: DataFrame, random_sample: int = RAN
     return random.unionByName(ordinary)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _stretches(ratios: Column, drift: float) -> Column:
     """array<struct<start, end>> of disjoint stretches of characters that reach both limits.
 
@@ -198,25 +208,26 @@ def _whole_parts(value: Column, s: Column) -> Column:
 def _joined_up(spans: Column) -> Column:
     """Overlapping spans made one."""
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+    def joined(rows):
+        reached = _before(rows, lambda s: s["end"], F.greatest)
+        firsts = F.filter(F.zip_with(rows, reached, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at"))), lambda s: s["start"] >= s["at"])
+        last = F.array_max(F.transform(rows, lambda s: s["end"]))
+        # what was reached before the next first span is where this one's chain ends
+        return _let(firsts, lambda fs: F.transform(fs, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(fs, i + 1)["at"], last).alias("end"))))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+    return _let(F.array_sort(spans), joined)
 
 
 def _parts(value: Column) -> Column:
-    """array<struct<start, end>>: the string, then what its separators part it into."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    """array<struct<start, end, value>>: the string, then what its separators part it into."""
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("out"))
+    def parted(parts):
+        starts = _before(parts, lambda p: F.length(p) + 1, lambda x, y: x + y)
+        spans = F.zip_with(parts, starts, lambda p, at: F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.alias("value")))
+        return F.filter(spans, lambda s: (s["end"] - s["start"] > 1) & (s["end"] - s["start"] < F.length(value)))
 
-    parts = F.aggregate(F.split(value, SEPARATOR), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    long = F.filter(parts, lambda s: (s["end"] - s["start"] > 1) & (s["end"] - s["start"] < F.length(value)))
-    return F.concat(F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end"))), long)
+    whole = F.struct(F.lit(0).alias("start"), F.length(value).alias("end"), value.alias("value"))
+    return F.concat(F.array(whole), _let(F.split(value, SEPARATOR), parted))
 
 
 def _judged(ratios: list[float]):
@@ -238,7 +249,7 @@ def _judged(ratios: list[float]):
         """Spans of the random stretches of a string and of each of its parts: a part counts as it does alone."""
         value = span["value"]
         text = lambda s: F.substring(value, s["start"] + 1, s["end"] - s["start"])
-        within = lambda part: F.transform(_let(text(part), random), lambda s: F.struct((part["start"] + s["start"]).alias("start"), (part["start"] + s["end"]).alias("end")))
+        within = lambda part: F.transform(random(part["value"]), lambda s: F.struct((part["start"] + s["start"]).alias("start"), (part["start"] + s["end"]).alias("end")))
         found = _joined_up(F.flatten(F.transform(_parts(value), within)))
         spans = F.transform(found, lambda s: F.struct((span["start"] + s["start"]).alias("start"), (span["start"] + s["end"]).alias("end"), F.lit(KINDS[3]).alias("kind"), text(s).alias("value")))
         # digits alone are numbers, however random
@@ -247,23 +258,35 @@ def _judged(ratios: list[float]):
     return judge
 
 
-def _outside(run: Column, spans: Column) -> Column:
-    """What is left of a run outside the given spans."""
+def _outside(seen: Column, spans: Column) -> Column:
+    """What is left of disjoint runs, in order, outside the given spans: one walk over the starts of both.
+
+    From one start to the next, spans cover what is before the furthest end so far, and only the
+    last run can go on.
+    """
+    start = lambda s, is_run: F.struct(s["start"].alias("start"), F.lit(is_run).alias("run"), s["end"].alias("end"))
+    starts = F.array_sort(F.concat(F.transform(spans, lambda s: start(s, 1)), F.transform(seen, lambda s: start(s, 2))))
 
-    def upto(acc, end):
-        value = F.substring(run["value"], acc["at"] - run["start"] + 1, end - acc["at"])
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), run["kind"].alias("kind"), value.alias("value"))
-        return F.when(acc["at"] < end, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+    def left(rows):
+        covered = _before(rows, lambda s: F.when(s["run"] == 1, s["end"]).otherwise(0), F.greatest)
+        runs = _before(rows, lambda s: (s["run"] == 2).cast("int"), lambda x, y: x + y)
 
-    def step(acc, b):
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), upto(acc, F.least(b["start"], run["end"])).alias("out"))
+        def piece(row, i):
+            run = F.get(seen, row["runs"] + (row["s"]["run"] == 2).cast("int") - 1)
+            begin = F.greatest(row["s"]["start"], row["covered"], F.when(row["s"]["run"] == 1, row["s"]["end"]))
+            end = F.least(run["end"], F.get(rows, i + 1)["start"])
+            return F.struct(begin.alias("start"), end.alias("end"), run.alias("run"))
 
-    return F.aggregate(F.array_sort(spans), F.struct(run["start"].alias("at"), _none().alias("out")), step, lambda acc: upto(acc, run["end"]))
+        walked = F.transform(F.arrays_zip(rows.alias("s"), covered.alias("covered"), runs.alias("runs")), piece)
+        pieces = F.filter(walked, lambda p: p["run"].isNotNull() & (p["start"] < p["end"]))
+        value = lambda p: F.substring(p["run"]["value"], p["start"] - p["run"]["start"] + 1, p["end"] - p["start"])
+        return F.transform(pieces, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["run"]["kind"].alias("kind"), value(p).alias("value")))
+
+    return _let(starts, left)
 
 
 def _all_spans(ratios: list[float], base: Column, seen: Column) -> Column:
-    parts = F.flatten(F.transform(seen, lambda s: _outside(s, base)))
-    return F.concat(base, F.flatten(F.transform(parts, _judged(ratios))))
+    return F.concat(base, F.flatten(F.transform(_outside(seen, base), _judged(ratios))))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_sample: int = RANDOM_SAMPLE, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
@@ -318,16 +341,28 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span, or chain of overlapping spans, replaced by MASK."""
+    """The text with every span, or chain of overlapping spans, replaced by MASK.
+
+    The text between spans is cut from what lies around a slice of them, as a cut counts characters
+    from the beginning of what it is made in.
+    """
+
+    def done(rows):
+        slices, size = _slices(rows)
+        last = F.array_max(F.transform(rows, lambda s: s["end"]))
+
+        def joined(reached):
+            def of_slice(k):
+                begin = F.get(reached, k * size)
+                nearby = F.substring(text, begin + 1, F.coalesce(F.get(reached, (k + 1) * size), last) - begin)
+                piece = lambda near: lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(near, at - begin + 1, s["start"] - at), F.lit(MASK))).otherwise("")
+                return _let(nearby, lambda near: F.array_join(F.zip_with(F.slice(rows, k * size + 1, size), F.slice(reached, k * size + 1, size), piece(near)), ""))
+
+            return F.array_join(F.transform(slices, of_slice), "")
 
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+        return F.concat(_let(_before(rows, lambda s: s["end"], F.greatest), joined), F.substring(text, last + 1, F.length(text)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.array_sort(spans), begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(F.array_sort(spans), done)).otherwise(text)
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
