@@ -60,6 +60,25 @@ def purge(table: DataFrame, at: str, before: Column) -> DataFrame:
     return table.where(F.col(at).isNull() | (F.col(at) >= before))
 
 
+def purge_cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], root: str, gone: Column) -> dict[str, DataFrame]:
+    """The tables without the root's rows that are to go and all rows that hang on them.
+
+    ``links`` has (child, its key, parent, the parent's key), a parent's own links before those to
+    its children; a child may have several parents and goes with any of them. Only keys of rows that
+    go are shuffled on. Rows without a key, and rows whose parent isn't there anyhow, stay; where
+    ``gone`` is null, a row stays.
+    """
+    lost = F.coalesce(gone, F.lit(False))
+    dead, left = {root: tables[root].where(lost)}, tables | {root: tables[root].where(~lost)}
+    for child, key, parent, parent_key in links:
+        keys = dead[parent].select(F.col(parent_key).alias("_key")).distinct()
+        on = lambda df: df[key] == keys["_key"]  # noqa: B023, E731
+        now = left[child].join(keys, on(left[child]), "left_semi")
+        dead[child] = dead[child].unionByName(now) if child in dead else now
+        left[child] = left[child].join(keys, on(left[child]), "left_anti")
+    return left
+
+
 def reap(jobs: DataFrame, reason: str, now: Column) -> DataFrame:
     """Jobs that still run or are being cancelled become failed ones."""
     orphan = F.coalesce(F.col("status").isin("running", "cancelling"), F.lit(False))
