@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -448,6 +449,59 @@ def test_pieces(docs, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_sharding_with_null_and_repeated_ids(spark):
+    """Null ids come first, equal ids go by checksum, equal rows take slots of their own; shards stay contiguous and near equal."""
+    rows = [(None, "z" * 50), (2, "b" * 9), (2, "a" * 70), (2, "a" * 70), (None, None), (1, ""), (7, "é" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")).withColumn("size", F.lit(0))
+    want = sorted(((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows))
+    total, before, slots, placed = sum(r[3] for r in want), 0, Counter(), []
+    for has, i, crc, size in want:
+        shard = min(2, before * 3 // total)
+        placed.append((has, i, crc, size, shard, slots[shard]))
+        slots[shard] += 1
+        before += size
+    got = sharding.shard_by_bytes(docs, 3).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size, r.shard, r.slot) for r in got) == sorted(placed)
+
+
+def _proto(number, value):
+    """A field of a protocol-buffer message: an integer, a float or bytes."""
+    if isinstance(value, int):
+        return bytes([number << 3]) + bytes([value])
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+def test_pieces_of_a_unigram_model():
+    """Best segmentations of a unigram model, against all segmentations and against the library."""
+    rng = random.Random(11)
+    some = {"".join(rng.choice("abc▁") for _ in range(rng.randint(2, 4))) for _ in range(40)}
+    some = sorted(p for p in some if "▁" not in p[1:]) + ["▁", "a", "b", "c"]
+    piece = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(p, -rng.uniform(1, 9), 1) for p in some]]
+    data = b"".join(_proto(1, _proto(1, p.encode()) + _proto(2, x) + _proto(3, k)) for p, x, k in piece)
+    data += _proto(2, _proto(3, 1)) + _proto(3, _proto(1, b"identity") + _proto(3, 1) + _proto(4, 0) + _proto(5, 1))
+    model = pieces.PieceModel(data)
+    score = dict(zip(model.pieces, model.scores, strict=True))
+
+    def best(word):
+        """The greatest sum over all segmentations, and the unknown characters' penalty."""
+        total = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [total[start] + score[word[start:end]] for start in range(end) if word[start:end] in model.id]
+            total.append(max([*ways, total[end - 1] + model.penalty]) if word[end - 1] not in model.known or not ways else max(ways))
+        return total[-1]
+
+    words = sorted({"▁" * rng.randint(0, 1) + "".join(rng.choice("abcabcabcx") for _ in range(rng.randint(1, 12))) for _ in range(200)})
+    for word, parts in zip(words, model.segment_sorted(words), strict=True):
+        assert "".join(parts) == word
+        assert sum(score.get(p, model.penalty) for p in parts) == pytest.approx(best(word))
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_proto=data)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 30))) for _ in range(40)] + ["", " ", "a  b ", "xabx xx", "é"]
+    ids, bounds = pieces.Encoder(model).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [sp.encode(t) for t in texts]
+
+
 def test_classifier(docs, none):
     scores = {r.doc_id: r.score for r in nbsvm.classify(docs, docs).collect()}
     assert set(scores) == set(TEXTS) and all(0 <= s <= 1 for s in scores.values())

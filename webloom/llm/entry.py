@@ -19,4 +19,4 @@ QUERIES = {
     "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_hard_negatives": mining.op13_hard_negatives,
 }
-ORACLES = {"op6_topk": topk.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op11_decontamination": decontamination.OP11_SQL, "op12_conversation_repair": repair.OP12_SQL, "op13_hard_negatives": mining.OP13_SQL}
+ORACLES = {"op4_sharding": sharding.OP4_SQL, "op6_topk": topk.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op11_decontamination": decontamination.OP11_SQL, "op12_conversation_repair": repair.OP12_SQL, "op13_hard_negatives": mining.OP13_SQL}

@@ -50,3 +50,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of nearly equal bytes."""
     return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
+
+
+#: The checksum goes byte by byte over a table of 256 values, made from the polynomial.
+OP4_SQL = """
+WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+tab AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS x FROM range(256) r(i))),
+crc AS (SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], [CAST('0x' || b AS BIGINT) for b in regexp_extract_all(h, '..')]), lambda a, b: xor(c[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS text_crc32 FROM t, tab),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS nth FROM crc),
+p AS (SELECT *, CAST(least(15, (upto - size) * 16 // total) AS INT) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
