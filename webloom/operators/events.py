@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions import headers
 from webloom.operators import sinks
 from webloom.sources import tables as T
 
@@ -169,4 +170,30 @@ def snk_purge_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (event_split, src_psi, psi_audits, src_axe, audit_summary, json_arrays, snk_purge_cascade)}
+def link_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each relation in the Link header that goes with an event."""
+    i = F.col("event_id").cast("string")
+    header = F.concat(F.lit("<https://x.example/"), i, F.lit('>; rel="next Prefetch"; title="a, b", bad, <>; rel=x, </s>; REL='), F.col("event_type"))
+    link = F.posexplode(headers.link_relations(header)).alias("nth", "link")
+    rows = T.table(spark, sf_dir, "events").select("event_id", link)
+    return rows.select("event_id", "nth", F.col("link.uri").alias("uri"), F.size("link.params").alias("n_params"), F.explode("link.rels").alias("rel"))
+
+
+def robots_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content signals in the robots file that goes with a page."""
+    i = F.col("page_id")
+    text = F.concat(F.lit("User-agent: *\nContent-Signal: search=yes, AI-Train="), F.when(i % 2 == 0, "NO").otherwise("yes"), F.lit(" # all, x=y\nDisallow: /a=b\n content-signal : alone, k = "), i.cast("string"), F.lit("=1\r\n"))
+    one = F.posexplode(headers.content_signals(text)).alias("nth", "s")
+    return T.table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), one).select("url_id", "nth", F.col("s.key").alias("signal"), F.col("s.value").alias("value"))
+
+
+def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the Retry-After header that goes with an event asks to wait, in its four forms, and a duration read."""
+    i, later = F.col("event_id"), F.col("ts") + F.expr("interval 90 seconds")
+    value = F.when(i % 4 == 0, (i % 100).cast("string")).when(i % 4 == 1, F.concat(F.date_format(later, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    value = value.when(i % 4 == 2, F.concat(F.date_format(later, "EEEE, dd-MMM-yy HH:mm:ss"), F.lit(" GMT"))).otherwise("soon")
+    span = F.when(i % 3 == 0, F.concat(i.cast("string"), F.lit("d"))).when(i % 3 == 1, F.concat((i % 50).cast("string"), F.lit("h2m1.5s"))).otherwise("2 h")
+    return T.table(spark, sf_dir, "events").select("event_id", headers.retry_after_ms(value, F.col("ts")).alias("wait_ms"), headers.duration_us(span).alias("span_us"))
+
+
+QUERIES = {f.__name__: f for f in (event_split, src_psi, psi_audits, src_axe, audit_summary, json_arrays, snk_purge_cascade, link_headers, robots_signals, retry_after)}

@@ -20,6 +20,11 @@ _BODIES = {
       UNION ALL SELECT 'assets', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.url_id = a.url_id AND u.url_id % 8 IN (2, 5))
       UNION ALL SELECT 'fetches', count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.url_id = f.url_id AND u.url_id % 8 IN (2, 5))
       UNION ALL SELECT 'hops', CAST(sum(hop_count) AS BIGINT) FROM f WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.url_id = f.url_id AND u.url_id % 8 IN (2, 5))""",
+    "link_headers": """SELECT event_id, CAST([0, 0, 1][i] AS INT) AS nth, ['https://x.example/' || event_id, 'https://x.example/' || event_id, '/s'][i] AS uri, CAST([2, 2, 1][i] AS INT) AS n_params,
+      ['next', 'prefetch', event_type][i] AS rel FROM events, range(1, 4) r(i)""",
+    "robots_signals": """SELECT page_id AS url_id, CAST(i - 1 AS INT) AS nth, ['search', 'ai-train', 'k'][i] AS signal, ['yes', CASE WHEN page_id % 2 = 0 THEN 'no' ELSE 'yes' END, page_id || '=1'][i] AS value FROM pages, range(1, 4) r(i)""",
+    "retry_after": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 100 * 1000 WHEN 3 THEN 0 ELSE (90000000 - epoch_us(ts) % 1000000) // 1000 END AS wait_ms,
+      CASE event_id % 3 WHEN 0 THEN event_id * 86400000000 WHEN 1 THEN event_id % 50 * 3600000000 + 121500000 END AS span_us FROM events""",
 }
 
 ORACLES = {name: f"WITH {VIEWS}, {_EVENTS} {body}" for name, body in _BODIES.items()}
