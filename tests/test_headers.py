@@ -60,3 +60,11 @@ def test_retry_after(spark, value, want):
 )
 def test_duration(spark, value, want):
     assert _one(spark, [value], headers.duration_us(F.col("c0"))) == want
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [("999999d", 999_999 * 86400 * 10**6), ("1000000d", 10**6 * 86400 * 10**6), ("106751991d", 106_751_991 * 86400 * 10**6), ("106751992d", None), ("9" * 30 + "d", None)],
+)
+def test_long_duration(spark, value, want):
+    assert _one(spark, [value], headers.duration_us(F.col("c0"))) == want

@@ -65,10 +65,10 @@ def retry_after_ms(value: Column, now: Column) -> Column:
 
 
 def duration_us(value: Column) -> Column:
-    """Microseconds of ``30d`` or of numbers with units such as ``-2h30m1.5s``; null for anything else."""
-    days = F.try_to_number(F.regexp_extract(value, "^([0-9]{1,6})d$", 1), F.lit("999999")).cast("long") * 86_400_000_000
+    """Microseconds of ``30d`` or of numbers with units such as ``-2h30m1.5s``; null for anything else, and for more days than a long holds."""
+    days = F.try_multiply(F.regexp_extract(value, "^([0-9]+)d$", 1).try_cast("long"), F.lit(86_400_000_000))
     parts = F.regexp_extract_all(value, F.lit(f"{_NUMBER}{_UNIT}"), F.lit(0))
     unit = lambda p: F.coalesce(*[F.when(F.regexp_extract(p, f"({_UNIT})$", 1) == u, F.lit(float(n))) for u, n in UNITS.items()])
     total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + F.regexp_extract(p, f"^({_NUMBER})", 1).cast("double") * unit(p))
     signed = F.round(total).cast("long") * F.when(value.startswith("-"), -1).otherwise(1)
-    return F.when(value.rlike("^[0-9]{1,6}d$"), days).when(value.rlike("^[+-]?0$"), F.lit(0).cast("long")).when(value.rlike(f"^[+-]?(?:{_NUMBER}{_UNIT})+$"), signed)
+    return F.when(value.rlike("^[0-9]+d$"), days).when(value.rlike("^[+-]?0$"), F.lit(0).cast("long")).when(value.rlike(f"^[+-]?(?:{_NUMBER}{_UNIT})+$"), signed)
