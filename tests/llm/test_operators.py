@@ -621,3 +621,27 @@ def test_topk_ids(spark):
             best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in distinct if j != 0)[:3]
             want += [(0, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert got == sorted(want) and len(got) == 6
+
+
+def test_repeats_deals_anchors_evenly():
+    """Before, the buckets were upper bits of least hashes: a few had most of the anchors, and a bucket is one task's work."""
+    rng = np.random.default_rng(3)
+    _, _, h = repeats.anchors([rng.integers(97, 123, 2000).astype(np.uint8).tobytes() for _ in range(400)])
+    n = np.bincount((h >> np.uint64(40)).astype(np.int64), minlength=1 << repeats.BUCKET_BITS)
+    assert len(n) == 1 << repeats.BUCKET_BITS and n.max() < 2 * n.mean() and n.min() > 0
+
+
+def test_run_length_index_against_brute_force():
+    rng = np.random.default_rng(4)
+    for letters in (1, 3, 250):
+        base = rng.integers(0, letters, 300).astype(np.uint8)
+        texts = [base[a : a + n].tobytes() for a, n in zip(rng.integers(0, 220, 25), rng.integers(50, 81, 25), strict=True)]
+        owner = rng.integers(0, 9, 25)
+        places = [(i, k, t[k : k + repeats.MATCH]) for i, t in enumerate(texts) for k in range(len(t) - repeats.MATCH + 1)]
+        least = {}
+        for i, _, x in places:
+            least[x] = min(owner[i], least.get(x, 9))
+        sizes = np.array([len(t) for t in texts])
+        index = repeats.RunLengthIndex(np.frombuffer(b"".join(texts), np.uint8), sizes, owner)
+        got = sorted(zip(*map(list, index.stream(owner)), strict=True))
+        assert got == [(i, k) for i, k, x in places if least[x] < owner[i]]
