@@ -86,3 +86,13 @@ def test_js_only_links(spark):
     urls_ = spark.createDataFrame([(1, "https://e.com/a"), (2, "https://e.com/b"), (3, "https://e.com/c#x"), (4, "HTTPS://E.com:443/a")], "url_id long, url string")
     links = spark.createDataFrame([(1, 2, "browser"), (1, 2, "browser"), (2, 1, "browser"), (2, 1, "static"), (1, 3, "browser"), (1, 4, "browser"), (1, 1, "browser"), (2, 4, "browser")], "source_id long, target_id long, discovery_mode string")
     assert {tuple(r) for r in crawl.js_only_links(links, urls_).collect()} == {(1, 2), (2, 4)}
+
+
+def test_copies_read_documents_once(spark):
+    """Before, each use of a page's values took its document apart anew: several times a query, ten scans in the table of issues."""
+    plan = crawl.duplicate_content(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan and "sha2" not in plan
+    rows = [(1, 10, "a", "x"), (2, 11, "a", ""), (3, 9, "a", "y"), (4, 5, None, "x")]
+    values = spark.createDataFrame(rows, "url_id long, fetch_seq long, title string, h1 string")
+    got = {tuple(r) for r in crawl.later_copies(values, {"t": "title", "h": "h1"}).collect()}
+    assert got == {("t", 1, "a", 3), ("t", 2, "a", 3), ("h", 1, "x", 2)}

@@ -15,30 +15,52 @@ from webloom.functions import urls as U
 from webloom.sources import tables as T
 
 
-def _later_copies(df: DataFrame, value: str) -> DataFrame:
-    """All but the first member (least fetch_seq) of every group of equal, non-empty values, with the group's size."""
-    groups = df.where(F.col(value) != "").groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("group_size"), F.min("fetch_seq").alias("first_seq")).where("group_size > 1")
-    return df.join(groups, F.col(value) == F.col("value")).where("fetch_seq != first_seq").select("url_id", "value", "group_size")
+#: What copies are told by, for each kind of copy.
+COPIES = {"duplicate_title": "title", "duplicate_h1": "h1", "duplicate_content": "content_hash", "duplicate_description": "description", "duplicate_h2": "h2"}
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df worked out once, its rows in the folder of checkpoints: for narrow rows that take a pass over wide ones and are read again."""
+    ready_to_checkpoint(df.sparkSession)
+    return df.checkpoint()
+
+
+def page_values(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """url_id, fetch_seq, the values that copies are told by, and ``more`` of pages(): every document is taken apart once."""
+    return kept(T.pages(spark, sf_dir).select("url_id", "fetch_seq", *COPIES.values(), *more))
+
+
+def later_copies(values: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Of each kind, all but the first member (least fetch_seq) of every group of equal, non-empty values, with the group's size."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds.items()]))
+    rows = values.select("url_id", "fetch_seq", each.alias("x")).select("url_id", "fetch_seq", "x.kind", "x.value").where("value != ''")
+    groups = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("group_size"), F.min("fetch_seq").alias("first_seq")).where("group_size > 1")
+    return rows.join(groups, ["kind", "value"]).where("fetch_seq != first_seq").select("kind", "url_id", "value", "group_size")
+
+
+def _copies(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    values = kept(T.pages(spark, sf_dir).select("url_id", "fetch_seq", COPIES[kind]))
+    return later_copies(values, {kind: COPIES[kind]}).drop("kind")
 
 
 def duplicate_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _later_copies(T.pages(spark, sf_dir), "title")
+    return _copies(spark, sf_dir, "duplicate_title")
 
 
 def duplicate_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _later_copies(T.pages(spark, sf_dir), "h1")
+    return _copies(spark, sf_dir, "duplicate_h1")
 
 
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _later_copies(T.pages(spark, sf_dir), "content_hash")
+    return _copies(spark, sf_dir, "duplicate_content")
 
 
 def duplicate_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _later_copies(T.pages(spark, sf_dir), "description")
+    return _copies(spark, sf_dir, "duplicate_description")
 
 
 def duplicate_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _later_copies(T.pages(spark, sf_dir), "h2")
+    return _copies(spark, sf_dir, "duplicate_h2")
 
 
 def thin_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +101,10 @@ def js_only_links(links: DataFrame, urls: DataFrame) -> DataFrame:
     """
     static = links.where("discovery_mode = 'static'").select("source_id", "target_id")
     found = links.where("discovery_mode = 'browser'").select("source_id", "target_id").distinct().join(static, ["source_id", "target_id"], "left_anti")
-    named = lambda end: urls.select(F.col("url_id").alias(f"{end}_id"), F.col("url").alias(f"{end}_url"))
-    both = found.join(named("target").where("not contains(target_url, '#')"), "target_id").join(named("source"), "source_id")
-    return both.where(~U.normalize("source_url").eqNullSafe(U.normalize("target_url"))).select("source_id", "target_id")
+    # normalised before the joins: once a URL, not once a link
+    named = lambda df, end: df.select(F.col("url_id").alias(f"{end}_id"), U.normalize("url").alias(f"{end}_key"))
+    both = found.join(named(urls.where("not contains(url, '#')"), "target"), "target_id").join(named(urls, "source"), "source_id")
+    return both.where(~F.col("source_key").eqNullSafe(F.col("target_key"))).select("source_id", "target_id")
 
 
 def js_only_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +227,12 @@ def cluster_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.pages(spark, sf_dir)
-    kinds = p.select("url_id", F.explode(F.map_from_arrays(F.array(F.lit("title"), F.lit("content")), F.array("title", "content_hash"))).alias("cluster_type", "value"))
+    return copy_clusters(T.pages(spark, sf_dir))
+
+
+def copy_clusters(pages: DataFrame) -> DataFrame:
+    """Groups of pages (url_id, title, content_hash) with equal titles or contents."""
+    kinds = pages.select("url_id", F.explode(F.map_from_arrays(F.array(F.lit("title"), F.lit("content")), F.array("title", "content_hash"))).alias("cluster_type", "value"))
     return kinds.where("value != ''").groupBy("cluster_type", "value").agg(F.count(F.lit(1)).alias("member_count"), F.min("url_id").alias("first_id")).where("member_count > 1")
 
 

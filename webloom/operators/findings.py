@@ -141,14 +141,19 @@ DETECTORS = {
 }
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def issues(spark: SparkSession, sf_dir: str, values: DataFrame | None = None) -> DataFrame:
     """One table of issues: url_id, issue_type, severity, scope ('page_local' or 'global') and details as JSON.
 
     All cross-page detectors and the rules on fetches; url_id is null where an issue is a host's or a sitemap's. The rules on
-    documents are in page_rules(), which reads the extraction.
+    documents are in page_rules(), which reads the extraction. The five kinds of copies are found together, in ``values`` as
+    crawl.page_values() gives them, which are worked out here unless given.
     """
-    tables = []
+    copies = crawl.later_copies(crawl.page_values(spark, sf_dir) if values is None else values, crawl.COPIES)
+    severity = F.coalesce(*[F.when(F.col("kind") == k, DETECTORS[k][0]) for k in crawl.COPIES])
+    tables = [copies.select(F.col("url_id").cast("long").alias("url_id"), F.col("kind").alias("issue_type"), severity.alias("severity"), F.lit("global").alias("scope"), F.to_json(F.struct("value", "group_size")).alias("details"))]
     for name, (severity, find) in DETECTORS.items():
+        if name in crawl.COPIES:
+            continue
         found = find(spark, sf_dir)
         details = F.to_json(F.struct(*[c for c in found.columns if c != "url_id"])) if set(found.columns) != {"url_id"} else F.lit("{}")
         url_id = F.col("url_id").cast("long") if "url_id" in found.columns else F.lit(None).cast("long")

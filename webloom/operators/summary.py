@@ -76,7 +76,7 @@ def issue_figures(issues: DataFrame, pages: DataFrame, urls: DataFrame) -> DataF
 
     Top issues are the types with the most issues, ties by name, each with the URL of its least url_id.
     """
-    each = issues.groupBy("url_id", "issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+    each = crawl.kept(issues.groupBy("url_id", "issue_type", "severity").agg(F.count(F.lit(1)).alias("n")))  # two uses, one pass
     kinds = each.groupBy("issue_type", "severity").agg(F.sum("n").alias("n"), F.min("url_id").alias("least"))
     sets = kinds.groupingSets([[F.col("issue_type")], [F.col("severity")]], "issue_type", "severity").agg(F.grouping_id().alias("set"), F.sum("n").alias("n"), F.min("least").alias("least"))
     named = sets.join(urls.select(F.col("url_id").alias("least"), F.col("url").alias("example_url")), "least", "left")
@@ -115,9 +115,10 @@ def _text(c: str) -> Column:
 def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All figures of the crawl; distributions as key=count, by key."""
     structured = T.table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), F.col("html").contains("application/ld+json").alias("has_structured_data"))
-    pages = T.pages(spark, sf_dir).select("url_id", "url", "depth", "indexability_state", "word_count").join(structured, "url_id")
+    values = crawl.page_values(spark, sf_dir, "url", "depth", "indexability_state", "word_count")
+    pages = values.select("url_id", "url", "depth", "indexability_state", "word_count").join(structured, "url_id")
     links = T.edges(spark, sf_dir).where("is_internal and relation_type = 'link'")
-    one = summarise(pages, T.urls(spark, sf_dir), T.fetches(spark, sf_dir), findings.issues(spark, sf_dir), T.sitemap(spark, sf_dir), links, crawl.cluster_duplicate(spark, sf_dir))
+    one = summarise(pages, T.urls(spark, sf_dir), T.fetches(spark, sf_dir), findings.issues(spark, sf_dir, values), T.sitemap(spark, sf_dir), links, crawl.copy_clusters(values))
     maps = ("issues_by_type", "issues_by_severity", "indexability_distribution", "status_code_distribution", "depth_distribution")
     rounded = ("avg_ttfb", "avg_word_count", "pages_per_second", "crawl_duration")
     rest = [c for c in one.columns if c not in (*maps, *rounded, "top_issues")]
